@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import cut, table, whole, word_count
 
 CELLS = 1024
+#: A row per source of 5 numbers and a name: up to so many are broadcast.
+BROADCAST_SOURCES = 50000
 SYMBOLS = r"[!#$%&*+/<=>@\\^_`{|}~]"
 
 
@@ -78,6 +80,12 @@ def budgets(keyed: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame
     return out.select("source", "source_size", "target", "epochs", F.coalesce("cut", F.when(F.col("least").isNotNull(), F.col("least") * F.lit(1 - 1e-15)), F.lit(-1.0)).alias("cut"))
 
 
+def few(by: DataFrame) -> DataFrame:
+    """Sent to all tasks where it has at most BROADCAST_SOURCES rows, counted first; else left to a sort merge join."""
+    by = cut(by)
+    return F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, quality=quality_weight) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document of (doc_id, text, source).
 
@@ -87,7 +95,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     """
     keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key"))
     keyed = cut(keyed)
-    by = budgets(keyed, weights, cap).withColumnRenamed("source", "s")
+    by = few(budgets(keyed, weights, cap).withColumnRenamed("source", "s"))
     once = (F.col("key") <= F.col("cut")).cast("long")
     joined = keyed.join(by, F.col("source").eqNullSafe(F.col("s")))
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + once).alias("copies"))
@@ -98,6 +106,7 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     key = sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
     keyed = cut(docs.select("source", word_count(F.col("text")).alias("size"), key.alias("key")))
     by = budgets(keyed, weights, cap).select(F.col("source").alias("_mix_s"), F.col("epochs").alias("_mix_e"), F.col("cut").alias("_mix_c"))
+    by = few(by)
     joined = docs.withColumn("_mix_k", key).join(by, F.col("source").eqNullSafe(F.col("_mix_s")))
     copies = F.col("_mix_e") + (F.col("_mix_k") <= F.col("_mix_c")).cast("long")
     taken = joined.withColumn("_mix_n", copies.cast("int")).where("_mix_n > 0")

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tidefold.llm import mixing, packing, warc
+from tidefold.llm import mixing, neighbours, packing, pii, quality, simhash, warc
 
-QUERIES = {"op3_mix": mixing.op3_mix, "op5_pack": packing.op5_pack, "op10_warc": warc.op10_warc}
-SQL = {"op3_mix": mixing.OP3_SQL, "op10_warc": warc.OP10_SQL}
+QUERIES = {
+    "op3_mix": mixing.op3_mix,
+    "op4_neighbours": neighbours.op4_neighbours,
+    "op5_pack": packing.op5_pack,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
+    "op9_personal": pii.op9_personal,
+    "op10_warc": warc.op10_warc,
+}
+SQL = {"op3_mix": mixing.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op10_warc": warc.OP10_SQL}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidefold.llm import mixing, neighbours, packing, pii, quality, simhash, warc
+from tidefold.llm import mixing, neighbours, packing, pii, quality, repeats, simhash, warc
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op3_mix": mixing.op3_mix,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_pack": packing.op5_pack,

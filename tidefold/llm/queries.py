@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidefold.llm import mixing, neighbours, packing, pii, quality, repeats, simhash, warc
+from tidefold.llm import imatch, mixing, neighbours, packing, pii, quality, repeats, simhash, warc
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
+    "op2_imatch": imatch.op2_imatch,
     "op3_mix": mixing.op3_mix,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_pack": packing.op5_pack,

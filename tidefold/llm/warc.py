@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import new_folder, table, whole
+from tidefold.llm.common import cut, new_folder, table, whole
 
 RECORDS_PER_FILE = 1000
+#: Groups of equal payloads, a digest and an id each, that are sent to all tasks at most.
+BROADCAST_GROUPS = 200000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -37,13 +39,15 @@ def plan_records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least min_payload bytes the one with the largest page_id is the response, the
     others are revisits; rows that share the largest id are all responses, and null ids refer to it as well. The
-    groups' winners are aggregated before they meet the payloads.
+    groups' winners are aggregated first and meet the payloads where these are read if there are at most
+    BROADCAST_GROUPS of them, else in a sort merge join.
     """
     p = pages.select("page_id", "url", whole(F.col("html")).alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     ids = p.where(F.col("payload_bytes") >= min_payload).select("page_id", "digest")
     best = ids.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    p = p.join(best, "digest", "left")
+    best = cut(best)
+    p = p.join(F.broadcast(best) if best.count() <= BROADCAST_GROUPS else best, "digest", "left")
     revisit = F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_payload)
     return p.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("best"))).drop("best")
 

@@ -50,3 +50,15 @@ def whole(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The same rows, written as a Parquet table into the shared folder; smaller there than a checkpoint."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """A kept table, sent to all tasks if it has at most so many rows, counted here; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df

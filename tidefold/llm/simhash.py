@@ -11,7 +11,6 @@ sets, not its pairs. Copies share a fingerprint and take part once.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, table
+from tidefold.llm.common import broadcast_if_few, cut, keep, table
 from tidefold.llm.links import components
 
 SEED = 42
@@ -27,13 +26,15 @@ SEED = 42
 PLAN_ROWS = 20000
 #: Buckets up to this size are compared by shifts of the sorted rows, larger ones by blocks or by flipping bits.
 SMALL = 48
+#: Dropped documents, an id and a hash each, that are sent to all tasks at most.
+BROADCAST_DROPS = 200000
 
 
-def fingerprint(raw: bytes, width: int) -> int:
-    """64 bits; a bit is 1 if more than half of the shingles' hashes have it. No words: 0."""
+def fingerprint(raw: bytes, width: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """64 bits for each seed; a bit is 1 if more than half of the shingles' hashes have it. No words: 0."""
     words = raw.lower().split()  # ASCII only, both of them
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -41,23 +42,32 @@ def fingerprint(raw: bytes, width: int) -> int:
     n = max(1, len(words) - width + 1)
     starts, ends = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + 65536], ends[at : at + 65536])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    out = []
+    for seed in seeds:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 65536):
+            h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + 65536], ends[at : at + 65536])], np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of whole texts; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id, salt (a hash of the text), fp and more: 64 bits as signed longs of whole texts, fp of the first seed and
+    more of the second or 0. Null and empty texts have fingerprint 0."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py() or b"", width) for x in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py() or b"", width, seeds) for x in batch.column("text")], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            more = fp[:, 1] if len(seeds) > 1 else np.zeros(len(fp), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(more))], names=["doc_id", "salt", "fp", "more"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_salt().alias("salt"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, salt long, fp long, more long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def text_salt():
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
 
 
 # planning
@@ -145,7 +155,11 @@ def joined_sets(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
             label = label[label]
 
 
-def small_links(key: np.ndarray, fp: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
+
+
+def small_links(key, fp, more, t: int, all_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of rows (sorted by key) with equal keys, row i with i + 1, i + 2 and so on."""
     found_a, found_b = [], []
     at = np.arange(len(key) - 1)
@@ -154,17 +168,20 @@ def small_links(key: np.ndarray, fp: np.ndarray, t: int) -> tuple[np.ndarray, np
         at = at[key[at] == key[at + shift]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= t]
+        near = apart(fp[at], fp[at + shift])
+        hit = at[near <= t]
+        hit = hit[near[near <= t] + apart(more[hit], more[hit + shift]) <= all_bits]
         found_a.append(hit)
         found_b.append(hit + shift)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def large_labels(fp: np.ndarray, t: int) -> np.ndarray:
-    """Smallest reachable index within one bucket of distinct fingerprints, sorted. Linear in its size for t up to 2."""
+def large_labels(fp, more, t: int, all_bits: int) -> np.ndarray:
+    """Smallest reachable index within one bucket. Where fingerprints are distinct, sorted and have no more bits, it is
+    linear in their number for t up to 2: each is looked up with all its flips. Else all pairs are compared, in blocks."""
     n, label = len(fp), None
-    if t <= 2 and n > 4000:
+    if t <= 2 and n > 4000 and not more.any() and (fp[1:] > fp[:-1]).all():
         flips = [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in itertools.combinations(range(64), 2)] * (t == 2)
         for x in flips if t else []:
             other = fp ^ np.uint64(x)
@@ -174,28 +191,30 @@ def large_labels(fp: np.ndarray, t: int) -> np.ndarray:
                 label = joined_sets(n, hit, at[hit], label)
         return np.arange(n) if label is None else label
     for s in range(0, n, 256):
-        a, b = np.nonzero(np.bitwise_count(fp[s : s + 256, None] ^ fp[None, s:]) <= t)
-        label = joined_sets(n, a + s, b + s, label)
+        a, b = np.nonzero(apart(fp[s : s + 256, None], fp[None, s:]) <= t)
+        a, b = a + s, b + s
+        ok = (a < b) & (apart(fp[a], fp[b]) + apart(more[a], more[b]) <= all_bits)
+        if ok.any() or label is None:
+            label = joined_sets(n, a[ok], b[ok], label)
     return label
 
 
-def probe(t: int):
-    """Links from rows (part, value, fp) that are sorted by part and value, whole buckets in a partition."""
+def probe(t: int, all_bits: int):
+    """Links from rows (part, value, id, fp, more) sorted by part and value, whole buckets in a partition."""
 
-    def stars(part, value, fp):
+    def stars(part, value, ids, fp, more):
         change = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1])) + 1
         starts = np.concatenate([[0], change])
         size = np.diff(np.concatenate([starts, [len(fp)]]))
         key = np.repeat(np.arange(len(starts)), size)
-        small = size[key] <= SMALL
-        many = (size[key] > 1) & small
-        k, f = key[many], fp[many]
-        a, b = small_links(k, f, t)
-        root = joined_sets(len(f), a, b)
-        out = [(f, f[root])]
+        many = (size[key] > 1) & (size[key] <= SMALL)
+        i = ids[many]
+        a, b = small_links(key[many], fp[many], more[many], t, all_bits)
+        out = [(i, i[joined_sets(len(i), a, b)])]
         for g in np.flatnonzero(size > SMALL):
-            own = np.unique(fp[starts[g] : starts[g] + size[g]])
-            out.append((own, own[large_labels(own, t)]))
+            rows = np.arange(starts[g], starts[g] + size[g])
+            rows = rows[np.argsort(fp[rows], kind="stable")]
+            out.append((ids[rows], ids[rows][large_labels(fp[rows], more[rows], t, all_bits)]))
         x, y = (np.concatenate(z) for z in zip(*out))
         return x[x != y], y[x != y]
 
@@ -203,7 +222,7 @@ def probe(t: int):
         held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                now = [np.asarray(batch.column(i)) for i in range(3)]
+                now = [np.asarray(batch.column(i)) for i in range(5)]
                 if not len(now[0]):
                     continue
                 held = now if held is None else [np.concatenate(z) for z in zip(held, now)]
@@ -214,10 +233,11 @@ def probe(t: int):
             else:
                 upto = len(held[0])
             if upto:
-                x, y = stars(held[0][:upto], held[1][:upto], held[2][:upto].view(np.uint64))
+                part, value, ids, fp, more = (z[:upto] for z in held)
+                x, y = stars(part, value, ids, fp.view(np.uint64), more.view(np.uint64))
                 held = [z[upto:] for z in held]
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return run
 
@@ -226,8 +246,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links that connect just those of the distinct fingerprints (fp) that differ by at most threshold bits."""
+def links(distinct: DataFrame, threshold: int, all_bits: int = 128) -> DataFrame:
+    """(a, b): ids of linked rows of `distinct` (id, fp, more), enough of them to connect all that are linked.
+
+    Linked are rows whose fp differ by at most `threshold` bits, and fp and more together by at most `all_bits`.
+    """
     spark = distinct.sparkSession
     rows = distinct.count()
     every = max(1, -(-rows // PLAN_ROWS))
@@ -239,9 +262,9 @@ def links(distinct: DataFrame, threshold: int) -> DataFrame:
         for k in range(t + 1):
             for c in itertools.combinations(part, k):
                 keys.append(F.struct(F.lit(i).alias("part"), mask.bitwiseXOR(F.lit(signed(sum(1 << b for b in c)))).alias("value")))
-    spread = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.part", "key.value", "fp")
+    spread = distinct.select("id", "fp", "more", F.explode(F.array(*keys)).alias("key")).select("key.part", "key.value", "id", "fp", "more")
     dealt = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "value").sortWithinPartitions("part", "value")
-    return dealt.mapInArrow(probe(threshold), "a long, b long")
+    return dealt.mapInArrow(probe(threshold, all_bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -252,15 +275,45 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     doc_id is never the smallest unless a component has no other, then the component is null. An empty table gives an
     empty result.
     """
-    fps = cut(fingerprints(docs, width))
+    fps = cut(fingerprints(docs, width).select("doc_id", "fp"))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, threshold))
+    roots = components(links(distinct.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("more")), threshold))
     own = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = own.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+#: Corpus deduplication: five-word shingles. Two texts with a Jaccard similarity of 0.8 differ in 15 % of the bits on
+#: average. Pairs within PROBE_BITS of the first 64 bits are probed; those within NEAR_BITS of 128 are near duplicates.
+WIDTH, SEEDS, PROBE_BITS, NEAR_BITS = 5, (42, 43), 10, 25
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` but for near duplicates, of which the one with the smallest doc_id stays (nulls last, then by
+    a hash of the text; of rows equal in both one stays).
+
+    Documents without words are near duplicates of each other. The rows to drop meet the documents where these are
+    read if there are at most BROADCAST_DROPS, else in a shuffled anti-join.
+    """
+    fps = keep(fingerprints(docs, WIDTH, SEEDS))
+    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("kid"), "salt")
+    distinct = fps.groupBy("fp", "more").agg(F.min(key).alias("first"))
+    distinct = keep(distinct.withColumn("id", F.monotonically_increasing_id()))
+    roots = keep(components(links(distinct.select("id", "fp", "more"), PROBE_BITS, NEAR_BITS)))
+    own = distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    least = own.groupBy("root").agg(F.min("first").alias("stays"))
+    stays = own.join(least, "root").select("fp", "more", "stays")
+    gone = fps.join(stays, ["fp", "more"]).select(key.alias("k"), "stays").where("k <> stays")
+    gone = keep(gone.select("k.kid", "k.salt").distinct())
+    rows = docs.withColumn("_sh_k", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_sh_s", text_salt())
+    gone = broadcast_if_few(gone.select(F.col("kid").alias("_sh_k"), F.col("salt").alias("_sh_s")), BROADCAST_DROPS)
+    rows = rows.join(gone, ["_sh_k", "_sh_s"], "left_anti")
+    if fps.groupBy("doc_id", "salt").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_sh_k", "_sh_s"])
+    return rows.select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), 3, 2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -8,6 +8,7 @@ numpy walks for whole batches at once.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,18 +165,25 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def training_documents(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """Those of `docs` that `most` labels at most, of the smallest hashes of their ids, are about."""
+    ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    return docs.join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)), "doc_id", "left_semi")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier predicts to be good, with the columns of `docs`.
 
-    Documents are scored where they are read: their texts pass through once more and none is shuffled.
+    Statistics are taken of the labelled sample for the trees, and then of each document where it is read and scored:
+    no text is shuffled and nothing is kept between.
     """
-    trees = fit(cut(document_statistics(docs)), labels)
+    trees = fit(document_statistics(training_documents(docs, labels)), labels)
 
-    @F.pandas_udf("double")
-    def score(text):
-        return __import__("pandas").Series(trees.scores(np.array([statistics(t or b"") for t in text]).reshape(-1, len(FEATURES))))
+    def good(text):
+        x = np.array([statistics(t or b"") for t in text], np.float64).reshape(-1, len(FEATURES))
+        return pd.Series(trees.scores(x) >= 0.5)
 
-    return docs.where(score(F.col("text").cast("binary")) >= 0.5)
+    return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("binary")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

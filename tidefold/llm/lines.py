@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import broadcast_if_few, keep, partitions, table, whole
+from tidefold.llm.common import broadcast_if_few, keep, table, whole
 
 NEAR_WORDS = 8
 #: Lines with fewer words than this always stay.
 LEAST_WORDS = 3
 SPACE = r"[\x20\x09-\x0D]+"
+#: Half keys that lines share, and repeated lines with their first places, that are sent to all tasks at most.
+BROADCAST_KEYS, BROADCAST_LINES = 500000, 200000
 #: Documents with candidate lines, an id and line numbers each, that are sent to all tasks at most.
 BROADCAST_DOCS = 150000
 
@@ -66,9 +68,9 @@ def place() -> Column:
 def candidates(distinct: DataFrame) -> DataFrame:
     """h and first place of the lines that share a half key with another line."""
     near = distinct.where(F.col("n") >= NEAR_WORDS)
-    keys = near.select("h", F.explode(F.array("k00", "k01", "k10", "k11")).alias("key")).repartition(partitions(distinct.sparkSession), "key")
-    shared = keys.groupBy("key").agg(F.count("h").alias("c")).where("c > 1").select("key")
-    return keys.join(shared, "key").select("h").distinct().join(near.select("h", "first"), "h")
+    keys = near.select("h", F.explode(F.array("k00", "k01", "k10", "k11")).alias("key"))
+    shared = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    return keys.join(broadcast_if_few(shared, BROADCAST_KEYS), "key").select("h").distinct().join(near.select("h", "first"), "h")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -126,11 +128,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keys = [F.min(c).alias(c) for c in ("k00", "k01", "k10", "k11")]
     distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), *keys).where(F.col("n") >= LEAST_WORDS))
     near = near_lines(base, distinct)
-    again = occ.join(distinct.where("c > 1").select("h", "first"), "h").where(place() != F.col("first"))
+    again = occ.join(broadcast_if_few(distinct.where("c > 1").select("h", "first"), BROADCAST_LINES), "h").where(place() != F.col("first"))
     exact = again.select("kid", "salt", "line", F.lit(0).alias("near"))
     also = distinct.join(near, "h").select("first.kid", "first.salt", "first.line", F.lit(1).alias("near"))
     gone = exact.unionAll(also).groupBy("kid", "salt").agg(F.collect_set(F.struct("line", "near")).alias("gone"))
-    out = base.join(gone, ["kid", "salt"], "left").select("row", F.split(whole(F.col("row.text")), "\n").alias("lines"), F.coalesce("gone", F.expr("array()")).alias("gone"))
+    # lines of a document are few beside its text: they are hashed and texts aren't sorted
+    out = base.join(gone.hint("shuffle_hash"), ["kid", "salt"], "left").select("row", F.split(whole(F.col("row.text")), "\n").alias("lines"), F.coalesce("gone", F.expr("array()")).alias("gone"))
     out = out.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone.line")))
     # collect_set keeps a line that goes for both reasons once, as exact and near never name the same place
     n_near = F.aggregate(F.col("gone.near"), F.lit(0), lambda s, x: s + x)

@@ -6,21 +6,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("queue").orderBy("lsn")
+def order():
+    return Window.partitionBy("queue").orderBy("lsn")
 
 
 def walk(log: DataFrame) -> DataFrame:
     """lsn, queue, op, value, depth after each command, enq_n and deq_n: enqueues and successful dequeues so far."""
     rows = log.where("op IN ('enqueue', 'dequeue')").select("lsn", "queue", "op", "value")
-    rows = rows.withColumn("s", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(-1)).over(ORDER))
-    rows = rows.withColumn("enq_n", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(0)).over(ORDER))
-    rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(ORDER)))
+    rows = rows.withColumn("s", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(-1)).over(order()))
+    rows = rows.withColumn("enq_n", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(0)).over(order()))
+    rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(order())))
     return rows.withColumn("deq_n", F.col("enq_n") - F.col("depth")).drop("s")
 
 
 def dequeues(log: DataFrame) -> DataFrame:
     """lsn, queue, value: what each dequeue returns, null from an empty queue."""
-    w = walk(log).withColumn("took", F.col("deq_n") > F.coalesce(F.lag("deq_n").over(ORDER), F.lit(0)))
+    w = walk(log).withColumn("took", F.col("deq_n") > F.coalesce(F.lag("deq_n").over(order()), F.lit(0)))
     given = w.where("op = 'enqueue'").select("queue", F.col("enq_n").alias("n"), F.col("value").alias("given"))
     taken = w.where("op = 'dequeue'").select("lsn", "queue", F.when(F.col("took"), F.col("deq_n")).alias("n"))
     return taken.join(given, ["queue", "n"], "left").select("lsn", "queue", F.col("given").alias("value"))

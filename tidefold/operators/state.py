@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidefold.operators.oplog import live
 
-BY_KEY = Window.partitionBy("key").orderBy("lsn")
+def by_key():
+    return Window.partitionBy("key").orderBy("lsn")
 
 
 def kv_state(log: DataFrame, as_of: float) -> DataFrame:
@@ -36,7 +37,7 @@ def exists_count(state: DataFrame, keys: DataFrame) -> DataFrame:
 def keys_with_prefix(log: DataFrame, as_of: float, prefix: str) -> DataFrame:
     """key, since: live keys in order of insertion; overwriting keeps a key's place, deleting and adding again moves it."""
     rows = log.where(F.col("op").isin("put", "delete") & F.col("key").startswith(prefix))
-    gone = F.max(F.when(F.col("op") == "delete", F.col("lsn"))).over(BY_KEY.rowsBetween(Window.unboundedPreceding, -1))
+    gone = F.max(F.when(F.col("op") == "delete", F.col("lsn"))).over(by_key().rowsBetween(Window.unboundedPreceding, -1))
     first = rows.withColumn("gone", F.coalesce(gone, F.lit(-1))).where("op = 'put'").groupBy("key", "gone").agg(F.min("lsn").alias("since"))
     first = first.groupBy("key").agg(F.max_by("since", "gone").alias("since"))
     return kv_state(rows, as_of).select("key").join(first, "key")
@@ -78,7 +79,7 @@ def counters(log: DataFrame, start: str = "0") -> DataFrame:
     """lsn, key, counter: each incr's result. A put sets the base (its value if that is a whole number) and a delete
     clears it; within such a segment the amounts run up. Windows only."""
     rows = log.where("op IN ('put', 'delete', 'incr')")
-    segment = F.count(F.when(F.col("op") != "incr", 1)).over(BY_KEY)
+    segment = F.count(F.when(F.col("op") != "incr", 1)).over(by_key())
     rows = rows.withColumn("segment", segment)
     within = Window.partitionBy("key", "segment").orderBy("lsn")
     base = F.when(F.col("op") == "put", F.expr("try_cast(value AS BIGINT)")).when(F.col("op") == "incr", F.col("amount")).otherwise(F.lit(0))
@@ -93,19 +94,19 @@ def counter_state(log: DataFrame) -> DataFrame:
 def getset(log: DataFrame) -> DataFrame:
     """lsn, key, old: what each put replaced, null after a delete or at first."""
     rows = log.where("op IN ('put', 'delete')")
-    before = F.lag(F.struct("op", "value")).over(BY_KEY)
+    before = F.lag(F.struct("op", "value")).over(by_key())
     return rows.withColumn("p", before).where("op = 'put'").select("lsn", "key", F.when(F.col("p.op") == "put", F.col("p.value")).alias("old"))
 
 
 def deletes(log: DataFrame) -> DataFrame:
     """lsn, key, existed: 1 where a delete found its key."""
-    rows = log.where("op IN ('put', 'delete')").withColumn("p", F.lag("op").over(BY_KEY))
+    rows = log.where("op IN ('put', 'delete')").withColumn("p", F.lag("op").over(by_key()))
     return rows.where("op = 'delete'").select("lsn", "key", F.when(F.col("p") == "put", 1).otherwise(0).alias("existed"))
 
 
 def set_if_absent(log: DataFrame) -> DataFrame:
     """lsn, key, done: puts as SET NX; of those between two deletes of a key the first is done."""
-    rows = log.where("op IN ('put', 'delete')").withColumn("segment", F.count(F.when(F.col("op") == "delete", 1)).over(BY_KEY))
+    rows = log.where("op IN ('put', 'delete')").withColumn("segment", F.count(F.when(F.col("op") == "delete", 1)).over(by_key()))
     puts = rows.where("op = 'put'")
     first = F.row_number().over(Window.partitionBy("key", "segment").orderBy("lsn")) == 1
     return puts.select("lsn", "key", first.cast("int").alias("done"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.vector import cosine, literal
 
-ORDER = Window.partitionBy("id").orderBy("version")
+def order():
+    return Window.partitionBy("id").orderBy("version")
 
 
 def versions_from(embeddings: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def versions_from(embeddings: DataFrame) -> DataFrame:
 
 def validity(versions: DataFrame) -> DataFrame:
     """With valid_from and valid_to (null: current)."""
-    return versions.withColumn("valid_from", F.col("ts")).withColumn("valid_to", F.lead("ts").over(ORDER))
+    return versions.withColumn("valid_from", F.col("ts")).withColumn("valid_to", F.lead("ts").over(order()))
 
 
 def history(versions: DataFrame, id, limit: int = 100) -> DataFrame:
@@ -51,7 +52,7 @@ def drift(versions: DataFrame, include_current: bool = False) -> DataFrame:
     one takes no part unless asked for."""
     rows = validity(versions)
     rows = rows if include_current else rows.where(F.col("valid_to").isNotNull() | F.lit(False))
-    step = F.round(1 - cosine(F.lag("vector").over(ORDER), F.col("vector")), 6)
-    steps = rows.withColumn("step", F.when(F.lag("vector").over(ORDER).isNotNull(), step))
+    step = F.round(1 - cosine(F.lag("vector").over(order()), F.col("vector")), 6)
+    steps = rows.withColumn("step", F.when(F.lag("vector").over(order()).isNotNull(), step))
     out = steps.groupBy("id").agg(F.round(F.sum(F.coalesce("step", F.lit(0.0))), 6).alias("drift"), F.count(F.lit(1)).alias("n"))
     return out.select("id", "drift", (F.when(F.col("n") < 2, F.col("n")).otherwise(F.col("n") + (0 if include_current else 1))).alias("versions"))

@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 
 #: Corpus deduplication: five-word shingles. Two texts with a Jaccard similarity of 0.8 differ in 15 % of the bits on
-#: average. Pairs within PROBE_BITS of the first 64 bits are probed; those within NEAR_BITS of 128 are near duplicates.
+#: average, 19 of 128. Near duplicates are pairs within NEAR_BITS of 128 that are within PROBE_BITS of either 64, which
+#: is all pairs within 2 * PROBE_BITS + 1.
 WIDTH, SEEDS, PROBE_BITS, NEAR_BITS = 5, (42, 43), 10, 25
 
 
@@ -300,7 +301,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("kid"), "salt")
     distinct = fps.groupBy("fp", "more").agg(F.min(key).alias("first"))
     distinct = keep(distinct.withColumn("id", F.monotonically_increasing_id()))
-    roots = keep(components(links(distinct.select("id", "fp", "more"), PROBE_BITS, NEAR_BITS)))
+    one, other = distinct.select("id", "fp", "more"), distinct.select("id", F.col("more").alias("fp"), F.col("fp").alias("more"))
+    found = links(one, PROBE_BITS, NEAR_BITS).unionAll(links(other, PROBE_BITS, NEAR_BITS))
+    roots = keep(components(found))
     own = distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     least = own.groupBy("root").agg(F.min("first").alias("stays"))
     stays = own.join(least, "root").select("fp", "more", "stays")

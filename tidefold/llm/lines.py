@@ -103,7 +103,10 @@ def near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
     lines = texts.select("kid", "salt", F.explode(F.filter(numbered, lambda x: F.array_contains("want", x["line"]))).alias("x"))
     lines = lines.select(F.struct("kid", "salt", F.col("x.line").alias("line")).alias("place"), words_of(F.col("x.text")).alias("words"))
     lines = keep(lines.select(F.xxhash64(hashes(F.col("words")), F.lit(-1)).alias("h"), "place", "words"))
-    v = keep(variants(lines))
+    every = keep(variants(lines))
+    # most variants are one line's own: narrow counts find those that meet another before places are aggregated
+    shared = keep(every.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v"))
+    v = keep(every.join(broadcast_if_few(shared, BROADCAST_KEYS), "v"))
     by_place = keep(v.groupBy("v", "at").agg(F.min(F.struct("place", "h")).alias("best"), F.count(F.lit(1)).alias("c")))
     own = F.when(F.col("at") < 0, F.col("best"))
     by_line = by_place.groupBy("v").agg(F.min(own).alias("itself"), F.min(F.when(F.col("at") >= 0, F.col("best"))).alias("longer")).where("itself IS NOT NULL AND longer IS NOT NULL")

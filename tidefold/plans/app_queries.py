@@ -229,11 +229,11 @@ TOK = "list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[a-
 @query(f"""
 WITH k AS (SELECT conv_id, turn, conv_id * 100000 + turn AS id, {TOK} AS w FROM conversations WHERE role = 'user'),
 s AS (SELECT a.conv_id, a.turn, b.id AS memory, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS score FROM k a, k b WHERE a.conv_id >= 40 AND b.conv_id < 40 AND len(a.w) > 0 AND len(b.w) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, memory)::INTEGER AS rank FROM s WHERE score >= 0.4)
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, memory)::INTEGER AS rank FROM s WHERE score >= 0.2)
 SELECT conv_id, turn, rank, memory, round(score, 6) AS score FROM r WHERE rank <= 3""")
 def memory_topk_threshold(spark, d):
     turns = t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    return reports.memory_matches(turns, 40, 3, 0.4).select("conv_id", "turn", "rank", "memory", F.round("score", 6).alias("score"))
+    return reports.memory_matches(turns, 40, 3, 0.2).select("conv_id", "turn", "rank", "memory", F.round("score", 6).alias("score"))
 
 
 STAT = "WITH v AS (SELECT l_returnflag AS g, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY 1)\n"
@@ -285,10 +285,10 @@ def competitor_summary(spark, d):
     return reports.competitor_summary(rows, "A", "R")
 
 
-@query("SELECT p_partkey AS scale, p_retailprice / 1000 AS speedup_vs_exact, p_size / 50.0::DOUBLE AS recall_at_k FROM part WHERE p_retailprice / 1000 >= 1.2 AND (p_partkey % 10) / 10.0::DOUBLE >= 0.5 AND p_size / 50.0::DOUBLE >= 0.6")
+@query("SELECT p_partkey AS scale, p_retailprice / 1000 AS speedup_vs_exact, p_size / 50.0::DOUBLE AS recall_at_k FROM part WHERE p_retailprice / 1000 >= 0.95 AND (p_partkey % 10) / 10.0::DOUBLE >= 0.5 AND p_size / 50.0::DOUBLE >= 0.6")
 def qualification_filter(spark, d):
     rows = t(spark, d, "part").select(F.col("p_partkey").alias("scale"), (F.col("p_retailprice") / 1000).alias("speedup_vs_exact"), (F.col("p_partkey") % 10 / 10.0).alias("top1_match_rate"), (F.col("p_size") / 50.0).alias("recall_at_k"))
-    return reports.qualified(rows, 1.2, 0.5, 0.6).drop("top1_match_rate")
+    return reports.qualified(rows, 0.95, 0.5, 0.6).drop("top1_match_rate")
 
 
 def calls(spark, d):

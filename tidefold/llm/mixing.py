@@ -2,8 +2,8 @@
 
 Every document draws an exponential key, -ln(u) / w, with u from a hash of its id and w its quality weight. A source
 takes as many complete epochs as fit its target, then the documents with the smallest keys up to the rest. The cut is
-found without sorting whole sources: keys fall into a fixed number of ordered cells, cell totals are prefix-summed,
-and only the one cell in which a source's budget ends is sorted. What a document is then taken for follows from its
+found without sorting whole sources: keys fall into a fixed number of ordered cells, cell totals are prefix-summed, the
+one cell in which a source's budget ends is divided once more, and only a millionth of a source's keys is sorted. What a document is then taken for follows from its
 key and its source's cut, so no text is ever shuffled and a source with a third of all rows is no heavier per task.
 """
 
@@ -53,22 +53,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Da
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("x"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def ending(totals: DataFrame, cell: str, begin: DataFrame) -> DataFrame:
+    """source, cell, before, rest: the cell in which a source's budget `rest` ends, with what is taken before it.
+
+    `totals`: (source, cell, cell_size); `begin`: (source, before, rest), what is taken before all these cells.
+    """
+    from_source = begin.select(F.col("source").alias("s"), F.col("before").alias("b"), "rest")
+    prior = F.sum("cell_size").over(Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    summed = totals.withColumn("prior", F.coalesce(prior, F.lit(0))).join(from_source, F.col("source").eqNullSafe(F.col("s")))
+    summed = summed.withColumn("before", F.col("b") + F.col("prior"))
+    ends = summed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") >= F.col("rest")))
+    return ends.select("source", cell, "before", "rest")
+
+
+def of_ends(celled: DataFrame, cell: str, ends: DataFrame) -> DataFrame:
+    """The rows of the cells in which budgets end."""
+    at = ends.select(F.col("source").alias("s"), F.col(cell).alias("c"))
+    return celled.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(cell) == F.col("c"))).drop("s", "c")
+
+
 def budgets(keyed: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """One row per source: source, source_size, target, epochs, cut (the largest key taken once more, or null)."""
-    cell = F.least(F.lit(CELLS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * CELLS)).cast("int")
-    celled = keyed.select("source", "size", "key", cell.alias("cell"))
+    fine = F.least(F.lit(CELLS * CELLS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * (CELLS * CELLS))).cast("int")
+    celled = keyed.select("source", "size", "key", fine.alias("fine")).withColumn("cell", F.floor(F.col("fine") / CELLS).cast("int"))
     totals = cut(celled.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     targets = source_targets(totals.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, cap)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     targets = cut(targets)
-    named = lambda t, as_: t.withColumnRenamed("source", as_)
-    by_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    summed = totals.withColumn("before", F.coalesce(F.sum("cell_size").over(by_cell), F.lit(0)))
-    summed = summed.join(named(targets.select("source", "rest"), "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ends = summed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") >= F.col("rest")))
-    ends = ends.select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "rest")
-    last = celled.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c", "cell")
+    begin = targets.select("source", F.lit(0).cast("long").alias("before"), "rest")
+    ends = ending(totals, "cell", begin)
+    inner = of_ends(celled, "cell", ends).groupBy("source", "fine").agg(F.sum("size").alias("cell_size"))
+    ends = cut(ending(inner, "fine", ends))
+    last = of_ends(celled, "fine", ends).join(ends.select(F.col("source").alias("s"), "before", "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ties = last.groupBy("source", "key", "before", "rest").agg(F.sum("size").alias("size"))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key"))
     ties = ties.withColumn("upto", upto).withColumn("prior", F.col("upto") - F.col("size"))

@@ -7,7 +7,7 @@ import xxhash
 
 from tidefold.llm import simhash
 from tidefold.llm.links import components
-from tidefold.llm.simhash import drop_near_duplicates, fingerprint, large_labels, near_duplicates, plan
+from tidefold.llm.simhash import drop_near_duplicates, fingerprint, large_labels, near_duplicates, plan, shingle_set, similar_links
 
 
 def plain_fingerprint(text, width):
@@ -102,3 +102,56 @@ def test_one_document_of_each_group_stays(documents, prose):
 def test_fingerprint_of_long_text(prose):
     t = prose(4, 70_000)
     assert fingerprint(t.encode(), 3) == [plain_fingerprint(t, 3)]
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return (not a and not b) or 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+
+def plain_stays(rows):
+    """The ids that stay: one of each group that pairs with a similarity of 0.8 or more connect."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    return sorted({root[i]: min(d for k, (d, _) in enumerate(rows) if root[k] == root[i]) for i in range(len(rows))}.values())
+
+
+@pytest.mark.parametrize("block", [500000, 2000])
+def test_only_pairs_of_the_stated_similarity_are_dropped(documents, prose, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng, rows = random.Random(7), []
+    for i in range(12):
+        base = prose(3000 + i, 200).split()
+        rows.append((i, " ".join(base)))
+        for k, edits in enumerate((1, 3, 4, 5, 6, 7, 9)):  # similarities of about 0.95 to 0.6
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"y{rng.randrange(10**6)}"
+            rows.append((100 + 10 * i + k, " ".join(w)))
+    hot = prose(1, 120)
+    rows += [(1000 + i, f"{hot} n{i}") for i in range(60)]
+    # a repeated phrase fills the fingerprint, not the set of shingles
+    rows += [(2000 + i, "buy it now for less " * 200 + prose(5000 + i, 60)) for i in range(3)]
+    got = sorted(r.doc_id for r in drop_near_duplicates(documents(rows)).collect())
+    assert got == plain_stays(rows) and {2000, 2001, 2002} <= set(got) and len(got) < len(rows)
+
+
+def test_similar_links_match_all_pairs(prose):
+    rng = random.Random(2)
+    base = [prose(i, 80).split() for i in range(4)]
+    texts = [" ".join(w if rng.random() > 0.015 else f"z{rng.randrange(99)}" for w in rng.choice(base)) for _ in range(60)]
+    sets, ids = [shingle_set(t.encode(), 5) for t in texts], np.arange(60)
+    block = np.array([rng.randrange(2) for _ in texts])
+    for across in (False, True):
+        want = [(i, j) for i in range(60) for j in range(i) if alike(set(sets[i].tolist()), set(sets[j].tolist())) and (not across or block[i] != block[j])]
+        label = lambda pairs: simhash.joined_sets(60, *(np.array(x, np.int64) for x in zip(*pairs))).tolist()
+        a, b = similar_links(ids, sets, block, across)
+        assert label(list(zip(a, b))) == label(want)
+        assert all(alike(set(sets[i].tolist()), set(sets[j].tolist())) for i, j in zip(a, b))

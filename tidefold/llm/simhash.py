@@ -190,8 +190,9 @@ def large_labels(fp, more, t: int, all_bits: int) -> np.ndarray:
             if len(hit):
                 label = joined_sets(n, hit, at[hit], label)
         return np.arange(n) if label is None else label
-    for s in range(0, n, 256):
-        a, b = np.nonzero(apart(fp[s : s + 256, None], fp[None, s:]) <= t)
+    many = max(1, min(256, (1 << 20) // n))
+    for s in range(0, n, many):
+        a, b = np.nonzero(apart(fp[s : s + many, None], fp[None, s:]) <= t)
         a, b = a + s, b + s
         ok = (a < b) & (apart(fp[a], fp[b]) + apart(more[a], more[b]) <= all_bits)
         if ok.any() or label is None:
@@ -284,32 +285,177 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-#: Corpus deduplication: five-word shingles. Two texts with a Jaccard similarity of 0.8 differ in 15 % of the bits on
-#: average, 19 of 128. Near duplicates are pairs within NEAR_BITS of 128 that are within PROBE_BITS of either 64, which
-#: is all pairs within 2 * PROBE_BITS + 1.
-WIDTH, SEEDS, PROBE_BITS, NEAR_BITS = 5, (42, 43), 10, 25
+#: Corpus deduplication: near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of at least
+#: 0.8 (9 * shared >= 4 * (one + other), in integers), or that others of the kind connect. Such texts differ in 15 % of
+#: the bits at most on average, 19 of 128. Candidates are pairs within NEAR_BITS of 128 that are within PROBE_BITS of
+#: either 64, and pairs with one of BANDS bands of BAND_ROWS minimal hashes in common: 0.9996 of the pairs at 0.8.
+WIDTH, PROBE_BITS, NEAR_BITS = 5, 10, 32
+BANDS, BAND_ROWS = 20, 5
+MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles of one side of a task of comparisons, about; larger groups of candidates are compared block by block.
+BLOCK_SHINGLES = 500000
+#: Candidates' places, an id and two hashes each, that are sent to all tasks at most.
+BROADCAST_CANDIDATES = 200000
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes of hashes (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; of all words where they are fewer than a shingle's."""
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    n = max(1, len(words) - width + 1)
+    starts, ends = (ends - sizes)[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A hash for each band of minimal hashes; none for an empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, ((h[at : at + 4096, None] ^ MINIMA[0]) * MINIMA[1]).min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, salt, s1 and s2 (a hash of the set of shingles), n (its size), fp, more, bands of (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x in batch.column("text"):
+                h = shingle_set(x.as_py() or b"", WIDTH)
+                s = [signed(xxhash.xxh64_intdigest(h.tobytes(), seed)) for seed in (0, 1)]
+                rows.append((*s, len(h), majority(h), majority(mixed(h)), band_keys(h)))
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "salt", "s1", "s2", "n", "fp", "more", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_salt().alias("salt"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, salt long, s1 long, s2 long, n long, fp long, more long, bands array<long>")
+
+
+def similar_links(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of near duplicates, enough to connect all that are: of rows of different blocks if `across`, else of all.
+    Rows that are connected already aren't compared; one row's others are counted in one pass over their shingles."""
+    order = np.argsort(block, kind="stable")
+    ids, sets, block = ids[order], [sets[i] for i in order], block[order]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    own = [codes[s:e] for s, e in zip(starts, starts[1:])]
+    mark, label = np.zeros(len(codes), bool), np.arange(len(ids))
+    found = []
+
+    def join(i, hits):
+        for j in hits.tolist():
+            if label[i] != label[j]:
+                found.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+
+    for i in range(len(ids) - 1):
+        first = int(np.searchsorted(block, block[i], "right")) if across else i + 1
+        if first == len(ids):
+            break
+        least = np.minimum(size[first:], size[i])
+        open_ = lambda: first + np.flatnonzero((label[first:] != label[i]) & (9 * least >= 4 * (size[first:] + size[i])))  # noqa: B023, E731
+        mark[own[i]] = True
+        near = lambda j: 9 * int(mark[own[j]].sum()) >= 4 * (size[i] + size[j])  # noqa: B023, E731
+        rest, tried = open_(), 0
+        while len(rest) and tried < 4:
+            if near(rest[0]):
+                join(i, rest[:1])
+                rest = open_()
+            else:
+                rest = rest[1:]
+            tried += 1
+        if len(rest) * 8 > len(ids) - first:
+            upto = np.concatenate([[0], np.cumsum(mark[codes])])
+            shared = upto[starts[rest + 1]] - upto[starts[rest]]
+            join(i, rest[9 * shared >= 4 * (size[i] + size[rest])])
+        elif len(rest):
+            join(i, rest[[near(j) for j in rest]])
+        mark[own[i]] = False
+    none = np.zeros(0, np.int64)
+    return (none, none) if not found else tuple(np.array(found, np.int64).T)
+
+
+def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): links of near duplicates among rows of `distinct` that `groups` (node, root) holds as candidates of each
+    other. Sets of shingles are made again, for candidates only; a group of k blocks is compared in k * (k + 1) / 2 tasks."""
+    members = distinct.join(groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct()), F.col("id") == F.col("node"))
+    members = keep(members.select("id", "root", "n", F.col("first.kid").alias("_sh_k"), F.col("first.salt").alias("_sh_s")))
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("k"))
+    places = keep(members.join(blocks, "root").select("id", "root", F.greatest("k", F.lit(1)).alias("k"), "_sh_k", "_sh_s"))
+
+    def read(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_py() or b"", WIDTH).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("k"), pa.array(sets, pa.binary())], names=["id", "root", "k", "set"])
+
+    texts = docs.select(sort_id().alias("_sh_k"), text_salt().alias("_sh_s"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(broadcast_if_few(places, BROADCAST_CANDIDATES), ["_sh_k", "_sh_s"]).select("id", "root", "k", "text")
+    sets = texts.mapInArrow(read, "id long, root long, k int, set binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiles = sets.select("id", "root", "block", "set", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("set")]
+        across = tile.column("x")[0].as_py() != tile.column("y")[0].as_py()
+        a, b = similar_links(tile.column("id").to_numpy(), sets, tile.column("block").to_numpy(), across)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiles.groupBy("root", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def sort_id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` but for near duplicates, of which the one with the smallest doc_id stays (nulls last, then by
     a hash of the text; of rows equal in both one stays).
 
-    Documents without words are near duplicates of each other. The rows to drop meet the documents where these are
-    read if there are at most BROADCAST_DROPS, else in a shuffled anti-join.
+    Documents of equal sets of shingles take part once, those without words are near duplicates of each other.
+    Candidates are connected by links of fingerprints and of bands; within a group of them, near duplicates are
+    connected by links that are verified. The rows to drop meet the documents where these are read if there are at most
+    BROADCAST_DROPS, else in a shuffled anti-join.
     """
-    fps = keep(fingerprints(docs, WIDTH, SEEDS))
+    fps = keep(sketches(docs))
     key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("kid"), "salt")
-    distinct = fps.groupBy("fp", "more").agg(F.min(key).alias("first"))
+    distinct = fps.groupBy("s1", "s2").agg(F.min(key).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "more", "bands")])
     distinct = keep(distinct.withColumn("id", F.monotonically_increasing_id()))
     one, other = distinct.select("id", "fp", "more"), distinct.select("id", F.col("more").alias("fp"), F.col("fp").alias("more"))
-    found = links(one, PROBE_BITS, NEAR_BITS).unionAll(links(other, PROBE_BITS, NEAR_BITS))
-    roots = keep(components(found))
+    keys = distinct.select("id", F.explode("bands").alias("band"))
+    stars = keys.groupBy("band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "b")
+    banded = keys.join(stars, "band").select(F.col("id").alias("a"), "b").where("a <> b")
+    found = links(one, PROBE_BITS, NEAR_BITS).unionAll(links(other, PROBE_BITS, NEAR_BITS)).unionAll(banded)
+    roots = keep(components(keep(verified(docs, distinct, keep(components(found))))))
     own = distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     least = own.groupBy("root").agg(F.min("first").alias("stays"))
-    stays = own.join(least, "root").select("fp", "more", "stays")
-    gone = fps.join(stays, ["fp", "more"]).select(key.alias("k"), "stays").where("k <> stays")
+    stays = own.join(least, "root").select("s1", "s2", "stays")
+    gone = fps.join(stays, ["s1", "s2"]).select(key.alias("k"), "stays").where("k <> stays")
     gone = keep(gone.select("k.kid", "k.salt").distinct())
-    rows = docs.withColumn("_sh_k", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_sh_s", text_salt())
+    rows = docs.withColumn("_sh_k", sort_id()).withColumn("_sh_s", text_salt())
     gone = broadcast_if_few(gone.select(F.col("kid").alias("_sh_k"), F.col("salt").alias("_sh_s")), BROADCAST_DROPS)
     rows = rows.join(gone, ["_sh_k", "_sh_s"], "left_anti")
     if fps.groupBy("doc_id", "salt").count().where("count > 1").limit(1).count():

@@ -81,3 +81,15 @@ def test_skip_chain_labels_a_repeated_token():
     assert labels[0, 3] > 0.99 and labels[4, 3] > 0.9 > 0.5 > labels[1, 3] and labels[3, 0] > 0.9
     assert all(k in range(4) and a < b for a, k, b in field.added(text, spans))
     assert field.added("no spans 12345", []) == []
+
+
+def test_field_labels_documents_without_base_spans():
+    import numpy as np
+
+    text = "call 555-3824 or 12 times"
+    field = Field({"3-4": np.array([0.0, 0, 0, 0, 500]), "2": np.array([500.0, 0, 0, 0, 0])}, np.ones((5, 5)))
+    assert base_spans(text) == []
+    assert field.added(text, []) == [(5, 3, 13)]
+    mail = text + " or a@b.cd"
+    assert (5, 3, 13) in field.added(mail, base_spans(mail))
+    assert field.added("no number", []) == [] and field.added("", []) == []

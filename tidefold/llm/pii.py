@@ -175,9 +175,7 @@ class Field:
         return np.exp(belief - np.logaddexp.reduce(belief, 1, keepdims=True))
 
     def added(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of tokens outside the base spans with a confident label. A document without base spans gets none."""
-        if not spans:
-            return []
+        """Spans of tokens outside the base spans with a confident label. A document without a digit or at sign has none."""
         tokens = trigger_tokens(text)
         label = observed(tokens, spans)
         if all(label):

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -80,3 +81,30 @@ def test_gzip_members():
     got = list(salvage(data))
     assert [r[3]["warc-record-id"] for r in got if r[0] == "record"] == [f"<urn:page:{i}>" for i in (0, 2, 3)]
     assert [(r[1], r[2]) for r in got if r[0] == "gap"] == [(len(members[0]), len(members[1]))]
+
+
+def found_ids(data):
+    return [r[3]["warc-record-id"] for r in salvage(bytes(data)) if r[0] == "record"]
+
+
+def test_gzip_members_after_a_damaged_start():
+    rng = random.Random(1)
+    first = bytearray(gzip.compress(record(0, rng.randbytes(6000))))
+    first[:5000] = b"\0" * 5000
+    data = bytes(first) + b"".join(gzip.compress(record(i, b"z%d" % i * 50)) for i in (1, 2))
+    assert found_ids(data) == ["<urn:page:1>", "<urn:page:2>"]
+    assert [(r[1], r[2]) for r in salvage(data) if r[0] == "gap"] == [(0, len(first))]
+
+
+def test_plain_records_with_gzipped_bodies():
+    parts = [record(i, gzip.compress(b"body %d" % i * 20)) for i in range(4)]
+    assert found_ids(b"".join(parts)) == [f"<urn:page:{i}>" for i in range(4)]
+    damaged = bytearray(b"".join(parts))
+    damaged[len(parts[0]) + 4] = 0  # the version line of record 1, so that its body's magic is tried
+    assert found_ids(damaged) == [f"<urn:page:{i}>" for i in (0, 2, 3)]
+    assert [(r[1], r[2]) for r in salvage(bytes(damaged)) if r[0] == "gap"] == [(len(parts[0]), len(parts[1]))]
+
+
+def test_plain_and_gzipped_records_in_one_archive():
+    data = record(0, b"a") + gzip.compress(record(1, b"b") + b"junk" + record(2, b"c")) + record(3, b"d")
+    assert found_ids(data) == [f"<urn:page:{i}>" for i in range(4)]

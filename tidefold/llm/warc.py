@@ -78,26 +78,20 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 
 
-def members(data: bytes):
-    """(offset, end, bytes or None): the gzip members of `data`, or all of it; None where a gap was skipped."""
-    if not data.startswith(GZIP) and GZIP not in data[:4096]:
-        yield 0, len(data), data
-        return
-    at = 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        try:
-            raw = d.decompress(data[at:]) if data[at : at + 3] == GZIP else None
-        except zlib.error:
-            raw = None
-        if raw is not None and d.eof:
-            end = len(data) - len(d.unused_data)
-            yield at, end, raw
-        else:
-            found = data.find(GZIP, at + 1)
-            end = len(data) if found < 0 else found
-            yield at, end, None
-        at = end
+START = re.compile(VERSION.pattern + b"|" + re.escape(GZIP))
+
+
+def member(data: bytes, at: int):
+    """(end, bytes) of the gzip member that begins at `at`, None where it is damaged or holds no version line."""
+    d, parts, view, upto = zlib.decompressobj(31), [], memoryview(data), at
+    try:
+        while not d.eof and upto < len(data):
+            parts.append(d.decompress(view[upto : upto + (1 << 20)]))
+            upto += 1 << 20
+    except zlib.error:
+        return None
+    raw = b"".join(parts)
+    return (min(upto, len(data)) - len(d.unused_data), raw) if d.eof and VERSION.search(raw) else None
 
 
 def one_record(data: bytes, at: int):
@@ -127,27 +121,33 @@ def one_record(data: bytes, at: int):
     return end + 4, fields, payload
 
 
-def salvage(data: bytes):
-    """Rows (kind, offset, length, fields, payload, reason) of one archive; offsets in a member count from its start."""
-    for begin, end, raw in members(data):
-        if raw is None:
-            yield "gap", begin, end - begin, {}, b"", "bad gzip member"
+def salvage(data: bytes, begin: int = 0, packed: bool = True):
+    """Rows (kind, offset, length, fields, payload, reason) of one archive; offsets in a member count from its start.
+
+    Records may be plain or gzipped, also within one archive. After a failed check it goes on at the earlier of the next
+    version line and, if `packed`, the next gzip member."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        found, inner = one_record(data, at), None
+        if packed and data.startswith(GZIP, at):
+            inner = member(data, at)
+            found = "bad gzip member" if inner is None else found
+        if isinstance(found, str) and inner is None:
+            gap, why = (at, found) if gap is None else (gap, why)
+            m = (START if packed else VERSION).search(data, at + 1)
+            at = m.start() if m else len(data)
             continue
-        at, gap, why = 0, None, ""
-        while at < len(raw):
-            found = one_record(raw, at)
-            if isinstance(found, str):
-                gap, why = (at, found) if gap is None else (gap, why)
-                m = VERSION.search(raw, at + 1)
-                at = m.start() if m else len(raw)
-                continue
-            if gap is not None:
-                yield "gap", begin + gap, at - gap, {}, b"", why
-                gap = None
-            yield "record", begin + at, found[0] - at, found[1], found[2], ""
-            at = found[0]
         if gap is not None:
-            yield "gap", begin + gap, len(raw) - gap, {}, b"", why
+            yield "gap", begin + gap, at - gap, {}, b"", why
+            gap = None
+        if inner is not None:
+            yield from salvage(inner[1], begin + at, False)
+            at = inner[0]
+            continue
+        yield "record", begin + at, found[0] - at, found[1], found[2], ""
+        at = found[0]
+    if gap is not None:
+        yield "gap", begin + gap, len(data) - gap, {}, b"", why
 
 
 READ_SCHEMA = "kind string, path string, offset long, length long, record_id string, record_type string, uri string, digest string, payload_bytes long, refers_to string, reason string, payload binary"
@@ -157,7 +157,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
     """One row per record (kind 'record') and per quarantined gap (kind 'gap') of the archives in `folder`.
 
     The digest and size of a response are computed from what was read; a revisit's are those in its header. Archives
-    may be plain or gzipped by member. A folder of empty archives gives an empty result.
+    may be plain, gzipped by member or both. A folder of empty archives gives an empty result.
     """
 
     def parse(batches):

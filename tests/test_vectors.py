@@ -103,3 +103,14 @@ def test_bytes_and_codecs(spark):
     assert one.z.original_size == 200 and one.z.ratio > 1 and (none.z is None or none.z.data is None)
     d = spark.createDataFrame([(bytearray(b"a" * 99), bytearray(b"a" * 99)), (bytearray(b""), bytearray(b""))], "a binary, b binary").select(udfs.ncd("a", "b")).collect()
     assert d[0][0] < 0.3 and udfs.CODECS["none"](b"x") == b"x"
+
+
+def test_recall_is_of_every_tenth_vector(spark, tmp_path, monkeypatch):
+    from tidefold.plans import vector_queries
+
+    v = np.random.default_rng(5).normal(size=(2300, 8))
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(search, "recall", lambda found, truth, k: (found, truth))
+    for ranking in vector_queries.vector_recall(spark, str(tmp_path)):
+        assert sorted(r.qid for r in ranking.select("qid").distinct().collect()) == list(range(0, 2300, 10))

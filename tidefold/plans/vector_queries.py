@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,13 +225,17 @@ def vector_recall(spark, d):
     """Recall of inverted lists for every tenth vector; the exact ranking is the truth."""
     c, q = collection(spark, d), tenth(spark, d)
     index = search.build_ivf(c)
-    rows = q.collect()[:200]
-    probes = min(len(index.centroids), 5)
-    asked = [(r[0], int(l)) for r in rows for l in search.probe_lists(index, np.array(r[1]), probes)]
-    lists = spark.createDataFrame(asked, "qid long, list_id int").join(q, "qid")
-    near = index.rows.join(lists, "list_id")
+    centroids, probes = index.centroids, min(len(index.centroids), 5)
+
+    def assign(frames):
+        for pdf in frames:
+            if len(pdf):
+                lists = np.argsort(-(np.array(pdf["qv"].tolist(), np.float64) @ centroids.T), axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), probes), "list_id": lists.ravel().astype(np.int32)})
+
+    near = index.rows.join(q.mapInPandas(assign, "qid long, list_id int").join(q, "qid"), "list_id")
     from tidefold.functions.vector import cosine
 
     found = search.ranked(near.select("qid", "id", cosine(F.col("vector"), F.col("qv")).alias("score")), 10)
-    truth = search.batch(c, q.join(spark.createDataFrame([(r[0],) for r in rows], "qid long"), "qid", "left_semi"), 10)
+    truth = search.batch(c, q, 10)
     return search.recall(found, truth, 10)

@@ -108,3 +108,29 @@ def test_plain_records_with_gzipped_bodies():
 def test_plain_and_gzipped_records_in_one_archive():
     data = record(0, b"a") + gzip.compress(record(1, b"b") + b"junk" + record(2, b"c")) + record(3, b"d")
     assert found_ids(data) == [f"<urn:page:{i}>" for i in range(4)]
+
+
+def test_damaged_headers_are_no_records():
+    good = record(1, b"x" * 50)
+    for old, new in ((b"Payload-Digest", b"Payload\0Digest"), (b"WARC-Record-ID", b"WARC Record ID"), (b"\r\nWARC-Payload", b"\r\tWARC-Payload"), (b"WARC-Record-ID", b"XXXX-Record-ID")):
+        data = good.replace(old, new, 1) + record(2, b"y")
+        assert found_ids(data) == ["<urn:page:2>"], new
+        assert [(r[1], r[2]) for r in salvage(data) if r[0] == "gap"] == [(0, len(data) - len(record(2, b"y")))]
+
+
+def test_many_members_take_linear_time():
+    import time
+
+    def seconds(n):
+        data = b"".join(gzip.compress(record(i, b"m" * 90)) for i in range(n))
+        began = time.process_time()
+        assert sum(r[0] == "record" for r in salvage(data)) == n
+        return time.process_time() - began
+
+    assert seconds(10_000) < 20 * max(seconds(1_000), 0.02)
+
+
+def test_folded_values():
+    data = record(1, b"x").replace(b"\r\nWARC-Payload", b"\r\nX-Note: one\r\n  two\r\nWARC-Payload", 1)
+    (r,) = salvage(data)
+    assert r[0] == "record" and r[3]["x-note"] == "one two"

@@ -76,18 +76,18 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> str:
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
-
-
+#: What a field's name may hold, and what its value may not.
+NAME, CONTROL = re.compile(rb"[!#-'*+\-.0-9A-Z^-z|~]+"), re.compile(rb"[\x00-\x08\x0A-\x1F\x7F]")
 START = re.compile(VERSION.pattern + b"|" + re.escape(GZIP))
 
 
 def member(data: bytes, at: int):
     """(end, bytes) of the gzip member that begins at `at`, None where it is damaged or holds no version line."""
-    d, parts, view, upto = zlib.decompressobj(31), [], memoryview(data), at
+    d, parts, view, upto, step = zlib.decompressobj(31), [], memoryview(data), at, 4096
     try:
         while not d.eof and upto < len(data):
-            parts.append(d.decompress(view[upto : upto + (1 << 20)]))
-            upto += 1 << 20
+            parts.append(d.decompress(view[upto : upto + step]))
+            upto, step = upto + step, min(2 * step, 1 << 20)  # what lies behind a member is copied at each, so little of it
     except zlib.error:
         return None
     raw = b"".join(parts)
@@ -102,14 +102,18 @@ def one_record(data: bytes, at: int):
     stop = data.find(b"\r\n\r\n", m.end())
     if stop < 0:
         return "no end of header"
-    fields = {}
+    fields, key = {}, ""
     for line in data[m.end() : stop].split(b"\r\n"):
+        if key and line[:1] in (b" ", b"\t") and not CONTROL.search(line):  # a folded value goes on
+            fields[key] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not NAME.fullmatch(name) or CONTROL.search(value):
             return "bad header line"
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
-        return "no length or type"
+        key = name.lower().decode("latin-1")
+        fields[key] = value.strip().decode("utf-8", "replace")
+    if not fields.get("content-length", "").isdigit() or not fields.get("warc-type") or not fields.get("warc-record-id"):
+        return "no length, type or id"
     start = stop + 4
     end = start + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tidefold.llm import repeats
 from tidefold.llm.repeats import LEAF, equal_passages, multikey_quicksort, remove_repeats
 
 
@@ -29,8 +30,30 @@ def run(df, span):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, span).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(documents, prose, seed):
+def brute_words(rows, words):
+    texts = [(d, (t or "").split()) for d, t in rows]
+    owners = {}
+    for d, t in texts:
+        for i in range(len(t) - words + 1):
+            owners.setdefault(tuple(t[i : i + words]), set()).add((d, tuple(t)))
+    out = []
+    for d, t in texts:
+        hit = np.zeros(len(t), bool)
+        for i in range(len(t) - words + 1):
+            if len(owners[tuple(t[i : i + words])]) > 1:
+                hit[i : i + words] = True
+        out.append((d, int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())))
+    return sorted(out, key=str)
+
+
+def run_words(df, span, words):
+    return sorted(((r.doc_id, r.n_shared_words, r.n_shared_spans) for r in remove_repeats(df, span, words).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed,hot,ranges", [(1, 2000, 1 << 20), (2, 2, 1 << 20), (3, 2000, 60), (4, 2, 60)])
+def test_matches_brute_force(documents, prose, seed, hot, ranges, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    monkeypatch.setattr(repeats, "RANGE_ROWS", ranges)
     rng = random.Random(seed)
     passages = [prose(seed * 100 + i, 30) for i in range(6)]
     rows = []
@@ -45,6 +68,24 @@ def test_matches_brute_force(documents, prose, seed):
         rows.append((i, " ".join(parts)))
     rows += [(50, rows[3][1]), (51, rows[3][1]), (52, rows[3][1][:-1] + "x")]
     assert run(documents(rows), 64) == brute(rows, 64)
+    assert run_words(documents(rows), 64, 12) == brute_words(rows, 12)
+
+
+def test_words_shared_across_documents_only(documents, prose, monkeypatch):
+    monkeypatch.setattr(repeats, "RANGE_ROWS", 40)
+    p, q = prose(1, 55), prose(2, 70)
+    rows = [(1, f"{prose(3, 20)} {p}\n{prose(4, 9)}"), (2, f"{prose(5, 3)}\t{p}"), (3, f"{q} {prose(6, 5)} {q} {q}"), (4, " ".join(["word"] * 300)), (5, " ".join(["word"] * 200)), (6, " ".join(prose(7, 60).split()[:50])), (7, prose(7, 60)), (8, None), (9, " ".join(["own"] * 400))]
+    got = run_words(documents(rows), 400, 51)
+    assert got == brute_words(rows, 51)
+    assert dict((d, n) for d, n, _ in got) == {1: 55, 2: 55, 3: 0, 4: 300, 5: 200, 6: 0, 7: 0, 8: 0, 9: 0}
+
+
+def test_equal_hashes_of_unequal_passages(monkeypatch):
+    monkeypatch.setattr(repeats, "window_sums", lambda raw, starts, span: np.zeros(len(starts), np.uint64))
+    raw = np.frombuffer(b"abcdefgh" + b"abcdefgi" + b"abcdefgh" + b"xxxxxxxx", np.uint8)
+    assert equal_passages(raw, np.array([0, 8, 16, 24]), 8).tolist() == [True, False, True, False]
+    assert equal_passages(raw, np.array([0, 8, 16, 24]), 8, np.array([1, 1, 1, 2]), np.zeros(4, bool)).tolist() == [False] * 4
+    assert equal_passages(raw, np.array([0, 8, 16, 24]), 8, np.array([1, 1, 3, 2]), np.array([False, True, False, False])).tolist() == [True, True, True, False]
 
 
 def test_edges(documents, prose):

@@ -1,17 +1,20 @@
 """Exact removal of repeated passages with a sparse suffix array.
 
-A passage is a string of SPAN bytes. Its anchor is the position with the smallest hash among the first half's
-positions, so it depends on the passage's bytes alone and equal passages have equal suffixes at their anchors. Only
-the suffixes at anchors are kept, about one in SPAN / 4, each with its block: the run of passages that share the anchor.
-
-Suffixes are strings of 8-byte tokens: two of leading bytes, a hash of the SPAN / 2 bytes that all the block's passages
-share, and a hash of the block. Splitters sampled from documents split them into ranges of leading tokens, ties by
-place, so that a passage in a third of all documents fills many ranges evenly. Each range is sorted by multikey
-quicksort and compared with its neighbours in order, and the ranges' ends with each other:
-
-- equal blocks repeat as a whole;
-- neighbours that share the first half but differ elsewhere are refined: one suffix on either side is read again with
-  its block's bytes, dealt by its leading tokens, and its passages are compared byte by byte.
+A passage is a string of SPAN bytes, or of WORDS words; bytes and words are the units, and one table holds the suffixes
+of both. A passage's anchor is the position with the smallest hash among the first half's positions, so it depends on
+the passage alone and equal passages have equal suffixes at their anchors. Only the suffixes at anchors are kept, one in
+some 80 bytes for each unit, each with its block: the run of passages that share the anchor.
+
+Suffixes are strings of 8-byte tokens: two leading ones (16 bytes, or the hashes of two words), a hash of what all the
+block's passages share, and two of the block. Splitters sampled from documents split them into ranges of leading tokens,
+ties by place, so that a passage in a third of all documents fills many ranges evenly; ranges grow in number with the
+corpus, not in size. Each range is sorted by multikey quicksort and compared with its neighbours in order, and the
+ranges' ends with each other:
+
+- equal blocks (the leading tokens and 192 bits of hashes) repeat as a whole;
+- neighbours that share the half after their anchors but differ elsewhere are refined: one suffix on either side is read
+  again with its block, dealt by its leading tokens, and its passages are compared byte by byte. Where more than
+  HOT_ROWS blocks share leading tokens, their passages are dealt one by one instead, by 128 bits of hashes.
 
 Repeated passages are then merged by document.
 """
@@ -19,6 +22,7 @@ Repeated passages are then merged by document.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +30,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, partitions, table, whole
+from tidefold.llm.common import broadcast_if_few, keep, partitions, table, whole
 
 SPAN = 400
+#: Passages of over 50 words, which count where another document has them too.
+WORDS = 51
 GRAM = 8
-#: Splitters come from at most about this many sampled documents.
-SPLIT_DOCS = 4000
+#: Splitters come from at least about this many documents, and from KEYS_PER_RANGE suffixes a range.
+SPLIT_DOCS, KEYS_PER_RANGE = 4000, 50
+#: Suffixes of a range, about; a row has 80 bytes.
+RANGE_ROWS = 1 << 20
+#: Blocks of equal leading tokens that one task compares at most.
+HOT_ROWS = 2000
+#: Hot leading tokens, and documents with their blocks, that are sent to all tasks at most.
+BROADCAST_KEYS, BROADCAST_DOCS = 200000, 100000
 #: Texts are worked on in slabs of about this many bytes; a longer text is a slab of its own.
 SLAB = 1 << 20
 #: Segments up to this size end the quicksort.
 LEAF = 256
 
 _MUL, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Tokens of a suffix.
+T = ("t0", "t1", "t2", "t3", "t4")
 
 
 def words_at(data: np.ndarray, count: int) -> np.ndarray:
@@ -57,27 +71,34 @@ def window_argmin(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def blocks(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First passage, number of passages and anchor of each block, for texts one after another that end at `ends`."""
-    n = len(data)
-    if n < span:
-        return (np.zeros(0, np.int64),) * 3
-    half = span // 2
-    h = words_at(data, n - GRAM + 1) * _MUL
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _MUL
     h ^= h >> np.uint64(29)
-    h *= _MUL2
+    return h * _MUL2
+
+
+def blocks(h: np.ndarray, n: int, ends: np.ndarray, span: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First passage, number of passages and anchor of each block, for texts of n units in all, one after another, that
+    end at `ends`. h: hashes of positions; a passage's anchor is the leftmost smallest of its first `width`."""
+    none = (np.zeros(0, np.int64),) * 3
+    if n < span:
+        return none
     room = np.uint64(max(1, int(n).bit_length()))
     h = (h >> room << room) | np.arange(len(h), dtype=np.uint64)  # hash first, place next: the leftmost smallest
-    anchor = (window_argmin(h, half - GRAM + 1)[: n - span + 1] & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+    anchor = (window_argmin(h, width)[: n - span + 1] & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
     text = np.searchsorted(ends, np.arange(len(anchor)), side="right")
-    inside = np.arange(len(anchor)) + span <= ends[text]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(np.arange(len(anchor)) + span <= ends[text])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return none
     new = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (text[at][1:] != text[at][:-1])])
     first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(at)]]))
-    return at[first], count, anchor[at[first]]
+    return at[first], np.diff(np.concatenate([first, [len(at)]])), anchor[at[first]]
+
+
+def word_hashes(raw) -> np.ndarray:
+    """A hash of each word of a text; words are runs without ASCII white space."""
+    words = bytes(raw).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def slabs(texts: pa.Array):
@@ -92,20 +113,35 @@ def slabs(texts: pa.Array):
         row = stop
 
 
-def suffix_rows(texts: pa.Array, span: int):
-    """For each slab: row of the text, first passage within the text, passages, anchor after it, and the four tokens."""
-    digest = xxhash.xxh3_64_intdigest
+def block_tokens(raw: memoryview, wide: int, first, count, anchor, span: int, shared: int) -> list[np.ndarray]:
+    """The third to fifth tokens of blocks, whose units have `wide` bytes: of the `shared` units after the anchor, and
+    of all the block's."""
+    s, e = (first * wide).tolist(), ((first + count - 1 + span) * wide).tolist()
+    half = np.array([xxhash.xxh3_64_intdigest(raw[a : a + shared * wide], wide) for a in (anchor * wide).tolist()], np.uint64)
+    both = b"".join([xxhash.xxh3_128_digest(raw[x:y], wide) for x, y in zip(s, e)])
+    return [half, *np.frombuffer(both, ">u8").astype(np.uint64).reshape(-1, 2).T]
+
+
+def suffix_rows(texts: pa.Array, span: int, words: int):
+    """For each slab and unit: the unit, rows of the texts, first passage within the text, passages, five tokens."""
     for rows, data, ends in slabs(texts):
-        first, count, anchor = blocks(data, ends, span)
-        if not len(first):
-            continue
-        big = words_at(data, len(data) - 7)
-        raw = memoryview(data)
-        shared = np.array([digest(raw[a : a + span // 2]) for a in anchor.tolist()], np.uint64)
-        block = np.array([digest(raw[s:e], 7) for s, e in zip(first.tolist(), (first + count - 1 + span).tolist())], np.uint64)
-        which = np.searchsorted(ends, first, side="right")
-        begin = np.concatenate([[0], ends])[which]
-        yield rows[which], first - begin, count, anchor - first, [big[anchor].byteswap(), big[anchor + 8].byteswap(), shared, block]
+        begins = np.concatenate([[0], ends])
+        if len(data) >= span:
+            width = span // 2 - GRAM + 1
+            first, count, anchor = blocks(mixed(words_at(data, len(data) - GRAM + 1)), len(data), ends, span, width)
+            if len(first):
+                big, which = words_at(data, len(data) - 7), np.searchsorted(ends, first, side="right")
+                tokens = [big[anchor].byteswap(), big[anchor + 8].byteswap(), *block_tokens(memoryview(data), 1, first, count, anchor, span, span // 2)]
+                yield 0, rows[which], first - begins[which], count, tokens
+        if words:
+            each = [word_hashes(data[s:e]) for s, e in zip(begins, ends)]
+            w, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            width = words // 2 + 1
+            first, count, anchor = blocks(mixed(w), len(w), stops, words, width)
+            if len(first):
+                which = np.searchsorted(stops, first, side="right")
+                tokens = [w[anchor], w[anchor + 1], *block_tokens(memoryview(w.view(np.uint8)), 8, first, count, anchor, words, words - width + 1)]
+                yield 1, rows[which], first - np.concatenate([[0], stops])[which], count, tokens
 
 
 def sort_key(tokens: list[np.ndarray]) -> np.ndarray:
@@ -137,9 +173,6 @@ def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-SUFFIX = "doc_id long, salt long, first int, count int, lead int, t0 long, t1 long, t2 long, t3 long, range int"
-
-
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).astype(np.uint64).view(np.int64))
 
@@ -148,153 +181,225 @@ def place_tokens(doc_id: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (doc_id.astype(np.int64).view(np.uint64) * _MUL) ^ first.astype(np.uint64)
 
 
-def suffixes(docs: DataFrame, span: int, splitters: np.ndarray | None) -> DataFrame:
+SUFFIX = "doc_id long, salt long, unit byte, first int, count int, " + ", ".join(f"{t} long" for t in T) + ", range int"
+SUFFIX_NAMES = [x.split()[0] for x in SUFFIX.split(", ")]
+
+
+def suffixes(docs: DataFrame, span: int, words: int, splitters: np.ndarray | None) -> DataFrame:
     """All suffixes of the texts of (doc_id, salt, text), with the range that the splitters put them in."""
 
     def run(batches):
         for batch in batches:
-            ids, salt = np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("salt"))
-            for row, first, count, lead, tokens in suffix_rows(batch.column("text"), span):
+            ids, salt = np.asarray(batch.column("doc_id")), np.asarray(batch.column("salt"))
+            for unit, row, first, count, tokens in suffix_rows(batch.column("text"), span, words):
                 if splitters is None:
                     r = np.zeros(len(row), np.int32)
                 else:
                     r = np.searchsorted(splitters, sort_key([*tokens, place_tokens(ids[row], first)]), side="right")
-                cols = [pa.array(ids[row]), pa.array(salt[row]), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(lead, pa.int32()), *map(as_signed, tokens), pa.array(r, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SUFFIX.split(", ")])
-
-    return docs.mapInArrow(run, SUFFIX)
-
-
-def sample_splitters(docs: DataFrame, span: int, ranges: int) -> np.ndarray:
-    """ranges - 1 ordered keys that cut a sample of the suffixes evenly. The sample only decides how evenly."""
-    every = max(1, -(-docs.count() // SPLIT_DOCS))
-    some = docs.where(F.pmod(F.xxhash64("salt", "doc_id"), F.lit(every)) == 0)
-    got = suffixes(some, span, None).where(F.pmod(F.xxhash64("t2", "first"), F.lit(4)) == 0)
-    got = got.orderBy(F.xxhash64("t3", "doc_id", "first")).limit(200 * ranges).toPandas()
+                cols = [pa.array(ids[row]), pa.array(salt[row]), pa.array(np.full(len(row), unit, np.int8)), pa.array(first, pa.int32()), pa.array(count, pa.int32()), *map(as_signed, tokens), pa.array(r, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=SUFFIX_NAMES)
+
+    return docs.select("doc_id", "salt", "text").mapInArrow(run, SUFFIX)
+
+
+def sample_splitters(docs: DataFrame, span: int, words: int) -> tuple[np.ndarray, int]:
+    """Ordered keys that cut a sample of the suffixes evenly, and the number of ranges between them, which follows the
+    bytes of all texts. The sample only decides how even ranges are; the driver holds KEYS_PER_RANGE keys a range."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    per_byte = 4 / span + (4 / (6 * words) if words else 0)
+    ranges = max(2, partitions(docs.sparkSession), -(-int(size * per_byte) // RANGE_ROWS))
+    share = min(1.0, max(SPLIT_DOCS / max(1, n), 4 * KEYS_PER_RANGE * ranges / max(1.0, size * per_byte)))
+    some = docs.where(F.pmod(F.xxhash64("salt", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = suffixes(some, span, words, None).where(F.pmod(F.xxhash64("t2", "first"), F.lit(4)) == 0)
+    got = got.orderBy(F.xxhash64("t3", "doc_id", "first")).limit(KEYS_PER_RANGE * ranges).toPandas()
     if not len(got):
-        return np.zeros(0, "S40")
-    u = [got[c].to_numpy(np.int64).view(np.uint64) for c in ("t0", "t1", "t2", "t3")]
+        return np.zeros(0, f"S{8 * len(T) + 8}"), ranges
+    u = [got[c].to_numpy(np.int64).view(np.uint64) for c in T]
     key = np.sort(sort_key([*u, place_tokens(got["doc_id"].to_numpy(np.int64), got["first"].to_numpy(np.int64))]))
-    return np.unique(key[(np.arange(1, ranges) * len(key)) // ranges])
+    return np.unique(key[(np.arange(1, ranges) * len(key)) // ranges]), ranges
 
 
-FOUND = "what string, doc_id long, salt long, first int, count int, lead int, t0 long, t1 long, t2 long, t3 long, range int"
+FOUND = f"what string, {SUFFIX}, n long, lo long, hi long"
+
+
+def repeats(unit, n, lo, hi):
+    """Whether a group of n equal blocks, of documents lo to hi, is a repetition: of words by documents."""
+    return np.where(np.asarray(unit) == 1, np.asarray(lo) < np.asarray(hi), np.asarray(n) > 1)
 
 
 def compare_ranges(dealt: DataFrame) -> DataFrame:
-    """Sorts each range and compares neighbours. Rows: 'whole' (the block repeats), 'part' (to refine), and each range's
-    'first' and 'last' suffix. A range holds about total / ranges rows of 64 bytes."""
+    """Sorts each range and compares neighbours. A row has the size and the documents of its group of equal blocks.
+
+    Rows: 'whole' (the block repeats), 'part' (to refine), 'head' and 'tail' (of the range's first and last group, where
+    it doesn't repeat within the range), and each range's 'first' and 'last' suffix. A range has about RANGE_ROWS rows.
+    """
     names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), *[pa.int64()] * len(T), pa.int32(), *[pa.int64()] * 3]
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        c = {n: t.column(n).to_numpy() for n in names[1:]}
-        tokens = [c[f"t{i}"].view(np.uint64) for i in range(4)]
+        c = {x: t.column(x).to_numpy() for x in SUFFIX_NAMES}
+        tokens = [c[x].view(np.uint64) for x in T]
         for r in np.unique(c["range"]).tolist():
             own = np.flatnonzero(c["range"] == r)
             order = own[multikey_quicksort([*(x[own] for x in tokens), place_tokens(c["doc_id"][own], c["first"][own])])]
             s = [x[order] for x in tokens]
-            near = (s[0][1:] == s[0][:-1]) & (s[1][1:] == s[1][:-1]) & (s[2][1:] == s[2][:-1])
-            same = near & (s[3][1:] == s[3][:-1])
-            for what, pairs in (("whole", same), ("part", near & ~same)):
-                at = np.flatnonzero(pairs)
-                at = np.unique(np.concatenate([at, at + 1]))
+            unit, salt = c["unit"][order], c["salt"][order]
+            near = (unit[1:] == unit[:-1]) & (s[0][1:] == s[0][:-1]) & (s[1][1:] == s[1][:-1]) & (s[2][1:] == s[2][:-1])
+            same = near & (s[3][1:] == s[3][:-1]) & (s[4][1:] == s[4][:-1])
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            group = np.cumsum(np.concatenate([[0], ~same]))
+            n, lo, hi = np.diff(np.concatenate([starts, [len(order)]])), np.minimum.reduceat(salt, starts), np.maximum.reduceat(salt, starts)
+            again = repeats(unit[starts], n, lo, hi)
+            alone = (unit[starts] == 1) & ~again & (n > 1)  # a document's own: all of them may meet another's
+            part = np.zeros(len(order), bool)
+            at = np.flatnonzero(near & ~same)
+            part[at] = part[at + 1] = True
+            beside = np.zeros(len(starts), bool)
+            beside[group[part]] = True
+            beside[[0, -1]] = True
+            part |= (alone & beside)[group]
+            for what, rows in (("whole", again[group]), ("part", part), ("head", ~again[group] & (group == 0)), ("tail", ~again[group] & (group == group[-1]) & (group > 0)), ("first", np.arange(len(order)) == 0), ("last", np.arange(len(order)) == len(order) - 1)):
+                at = np.flatnonzero(rows)
                 if len(at):
-                    yield as_batch(what, order[at], c)
-            yield as_batch("first", order[:1], c)
-            yield as_batch("last", order[-1:], c)
-
-    def as_batch(what, rows, c):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([what] * len(rows)), *(pa.array(c[n][rows], k) for n, k in zip(names[1:], kinds))], names=names)
+                    g = group[at]
+                    cols = [*(c[x][order[at]] for x in SUFFIX_NAMES), n[g], lo[g], hi[g]]
+                    yield pa.RecordBatch.from_arrays([pa.array([what] * len(at)), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=names)
 
     return dealt.mapInArrow(run, FOUND)
 
 
-def across_boundaries(ends: DataFrame) -> list[tuple]:
-    """What comparing the last suffix of each range with the first of the next adds. `ends` has two rows a range."""
-    by: dict[int, dict[str, tuple]] = {}
-    for r in ends.collect():
-        by.setdefault(r["range"], {})[r["what"]] = tuple(r)
-    out, ranges = [], sorted(by)
-    for a, b in zip(ranges, ranges[1:]):
-        x, y = by[a]["last"], by[b]["first"]
-        if x[6:9] == y[6:9]:
-            what = "whole" if x[9] == y[9] else "part"
-            out += [(what, *x[1:]), (what, *y[1:])]
-    return out
-
-
-def equal_passages(raw: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """Which of the passages that start at `starts` occur there more than once: by hash first, then by bytes."""
-    weights = np.uint64(0xBF58476D1CE4E5B9) ** np.arange(1, len(raw) + 1, dtype=np.uint64)
-    inverse = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)) ** starts.astype(np.uint64)
+def across_boundaries(ends: list[dict]) -> tuple[list[dict], list[str]]:
+    """What comparing the last suffix of each range with the first of the next adds: suffixes to refine, and the
+    '<range> head' or '<range> tail' groups that repeat. `ends`: 'first' and 'last' rows."""
+    by: dict[int, dict[str, dict]] = {}
+    for r in ends:
+        by.setdefault(r["range"], {})[r["what"]] = r
+    key = lambda r, m: (r["unit"], *(r[t] for t in T[:m]))
+    ranges = sorted(by)
+    parts, chains = [], []  # a chain: the groups of equal blocks that follow each other over boundaries
+    for i, r in enumerate(ranges):
+        first, last = by[r]["first"], by[r]["last"]
+        if i:
+            before = by[ranges[i - 1]]["last"]
+            if key(before, 3) == key(first, 3):
+                parts += [before, first]
+        if i and key(before, 5) == key(first, 5):
+            chains[-1].append((f"{r} head", first))
+        else:
+            chains.append([(f"{r} head", first)])
+        if key(first, 5) != key(last, 5):
+            chains.append([(f"{r} tail", last)])
+    whole = [name for c in chains if len(c) > 1 and repeats([c[0][1]["unit"]], [sum(x["n"] for _, x in c)], [min(x["lo"] for _, x in c)], [max(x["hi"] for _, x in c)])[0] for name, _ in c]
+    return parts, whole
+
+
+def window_sums(raw: np.ndarray, starts: np.ndarray, span: int, base: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
+    """Hashes of the strings of `span` bytes that begin at `starts`."""
+    weights = np.uint64(base) ** np.arange(1, len(raw) + 1, dtype=np.uint64)
+    inverse = np.uint64(pow(base, -1, 1 << 64)) ** starts.astype(np.uint64)
     letters = (np.arange(1, 257, dtype=np.uint64) * _MUL) ^ (np.arange(1, 257, dtype=np.uint64) * _MUL2 >> np.uint64(7))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[raw] * weights, dtype=np.uint64)])
-    h = (sums[starts + span] - sums[starts]) * inverse
+    return (sums[starts + span] - sums[starts]) * inverse
+
+
+def equal_passages(raw: np.ndarray, starts: np.ndarray, span: int, owner: np.ndarray | None = None, many: np.ndarray | None = None) -> np.ndarray:
+    """Which of the strings that start at `starts` occur there more than once; with `owner`, for more than one owner, or
+    where one of them has `many`. Compared by hash first, then by bytes."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    h = window_sums(raw, starts, span)
     order = np.argsort(h, kind="stable")
-    same = np.flatnonzero(h[order][1:] == h[order][:-1])
-    hit = np.zeros(len(starts), bool)
+    same = h[order][1:] == h[order][:-1]
     view = np.lib.stride_tricks.sliding_window_view(raw, span)
-    for s in range(0, len(same), 4096):
-        a, b = order[same[s : s + 4096]], order[same[s : s + 4096] + 1]
-        equal = (view[starts[a]] == view[starts[b]]).all(1)
-        hit[a[equal]] = hit[b[equal]] = True
-        for x in np.unique(h[a[~equal]]).tolist():  # unequal strings of one hash: all of them, by their bytes
-            seen: dict[bytes, list[int]] = {}
-            for i in np.flatnonzero(h == np.uint64(x)).tolist():
-                seen.setdefault(view[starts[i]].tobytes(), []).append(i)
-            for group in seen.values():
-                if len(group) > 1:
-                    hit[group] = True
-    return hit
-
-
-def refine(parts: DataFrame, docs: DataFrame, span: int, ranges: int) -> DataFrame:
-    """(doc_id, salt, first, count): runs of passages within the `parts` that occur more than once among them."""
-    want = parts.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("first", "count", "lead", "t0", "t1", "t2")).alias("want"))
-    joined = docs.join(want, ["doc_id", "salt"]).select("doc_id", "salt", "text", "want")
+    at, odd = np.flatnonzero(same), set()
+    for s in range(0, len(at), 4096):
+        a, b = order[at[s : s + 4096]], order[at[s : s + 4096] + 1]
+        differ = (view[starts[a]] != view[starts[b]]).any(1)
+        odd |= set(h[a[differ]].tolist())
+    label = np.empty(len(starts), np.int64)
+    label[order] = np.cumsum(np.concatenate([[0], ~same]))
+    for x in odd:  # unequal strings of one hash: all of them, by their bytes
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(h == np.uint64(x)).tolist():
+            label[i] = seen.setdefault(view[starts[i]].tobytes(), len(starts) + i)
+    _, label, n = np.unique(label, return_inverse=True, return_counts=True)
+    if owner is None:
+        return (n > 1)[label]
+    order = np.argsort(label, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+    hit = np.minimum.reduceat(owner[order], begin) < np.maximum.reduceat(owner[order], begin)
+    return (hit | np.logical_or.reduceat(many[order], begin))[label]
+
+
+BLOCK = "doc_id long, salt long, unit byte, many boolean, first int, count int, t0 long, t1 long, t2 long, block binary"
+RUN = "doc_id long, salt long, unit byte, first int, count int"
+
+
+def block_windows(unit: int, count: np.ndarray, lengths: np.ndarray, span: int, words: int):
+    """(owner, offset, start, bytes): the block, its passage and the passage's place in the joined bytes of blocks."""
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    owner = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    wide = 8 if unit else 1
+    return owner, offset, begin[owner] + offset * wide, (words if unit else span) * wide
+
+
+def wanted(parts: DataFrame) -> DataFrame:
+    """The suffixes to refine of each document."""
+    one = F.struct("unit", (F.col("lo") < F.col("hi")).alias("many"), "first", "count", "t0", "t1", "t2")
+    return parts.groupBy("doc_id", "salt").agg(F.collect_set(one).alias("want"))
+
+
+def read_blocks(base: DataFrame, want: DataFrame, span: int, words: int) -> DataFrame:
+    """The blocks of the `wanted` suffixes, as bytes or as the hashes of words."""
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
 
     def read(batches):
         for batch in batches:
-            cols = [[] for _ in range(9)]
             for doc_id, salt, text, want in zip(*(batch.column(n) for n in ("doc_id", "salt", "text", "want"))):
-                raw = text.as_py()
-                for w in want.as_py():
-                    row = (doc_id.as_py(), salt.as_py(), w["first"], w["count"], w["lead"], w["t0"], w["t1"], w["t2"], raw[w["first"] : w["first"] + w["count"] - 1 + span])
-                    for c, v in zip(cols, row):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "salt", "first", "count", "lead", "t0", "t1", "t2", "block"])
-
-    read_schema = "doc_id long, salt long, first int, count int, lead int, t0 long, t1 long, t2 long, block binary"
-    dealt = joined.mapInArrow(read, read_schema).repartition(ranges, "t0", "t1", "t2").sortWithinPartitions("t0", "t1", "t2")
+                raw, asked = text.as_py(), want.as_py()
+                hashes = word_hashes(raw).tobytes() if any(w["unit"] for w in asked) else b""
+                cols = [[] for _ in names]
+                for w in asked:
+                    data, wide, size = (hashes, 8, words) if w["unit"] else (raw, 1, span)
+                    row = (doc_id.as_py(), salt.as_py(), *w.values(), data[w["first"] * wide : (w["first"] + w["count"] - 1 + size) * wide])
+                    for x, v in zip(cols, row):
+                        x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+
+    # id is read for nothing here, so that texts are shuffled once, for this join and the last one
+    return base.join(want, ["doc_id", "salt"]).select("id", "doc_id", "salt", "text", "want").mapInArrow(read, BLOCK)
+
+
+def refine(blocks: DataFrame, span: int, words: int, ranges: int) -> DataFrame:
+    """RUN: runs of passages within the blocks that occur more than once among them."""
+    dealt = blocks.repartition(ranges, "t0", "t1", "t2").sortWithinPartitions("t0", "t1", "t2")
+    columns = ("doc_id", "salt", "unit", "many", "first", "count", "block")
+
+    def runs(t):
+        for unit in (0, 1):
+            own = [i for i, u in enumerate(t["unit"]) if u == unit]
+            if not own:
+                continue
+            doc_id, salt, many, first, count = (np.array([t[n][i] for i in own]) for n in ("doc_id", "salt", "many", "first", "count"))
+            block = [t["block"][i] for i in own]
+            owner, offset, start, size = block_windows(unit, count, np.array([len(x) for x in block]), span, words)
+            hit = equal_passages(np.frombuffer(b"".join(block), np.uint8), start, size, *((salt[owner], many[owner]) if unit else ()))
+            new = hit & (np.concatenate([[True], ~hit[:-1]]) | (offset == 0))
+            at = np.flatnonzero(new)
+            if len(at):
+                length = np.bincount(np.cumsum(new)[hit] - 1)
+                o = owner[at]
+                cols = [pa.array(doc_id[o]), pa.array(salt[o]), pa.array(np.full(len(o), unit, np.int8)), pa.array(first[o] + offset[at], pa.int32()), pa.array(length, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RUN.split(", ")])
 
     def compare(batches):
-        def runs(t):
-            lengths = np.array([len(x) for x in t["block"]])
-            begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            raw = np.frombuffer(b"".join(t["block"]), np.uint8)
-            count = np.array(t["count"])
-            owner = np.repeat(np.arange(len(count)), count)
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hit = equal_passages(raw, begin[owner] + offset, span)
-            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            cuts = np.flatnonzero(offset == 0)
-            inner = np.zeros(len(hit) + 1, bool)
-            inner[cuts] = True
-            start = np.flatnonzero((edge[:-1] == 1) | (inner[:-1] & hit))
-            stop = np.flatnonzero((edge == -1) | (inner & np.concatenate([[False], hit])))
-            o = owner[start]
-            if len(start):
-                first = np.array(t["first"])[o] + offset[start]
-                cols = [pa.array(np.array(t["doc_id"])[o]), pa.array(np.array(t["salt"])[o]), pa.array(first, pa.int32()), pa.array(stop - start, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "salt", "first", "count"])
-
-        held, size, last = {n: [] for n in ("doc_id", "salt", "first", "count", "block")}, 0, None
+        held, size, last = {n: [] for n in columns}, 0, None
         for batch in batches:
             keys = list(zip(*(batch.column(n).to_pylist() for n in ("t0", "t1", "t2"))))
             cols = {n: batch.column(n).to_pylist() for n in held}
@@ -309,60 +414,94 @@ def refine(parts: DataFrame, docs: DataFrame, span: int, ranges: int) -> DataFra
         if size:
             yield from runs(held)
 
-    return dealt.mapInArrow(compare, "doc_id long, salt long, first int, count int")
+    return dealt.mapInArrow(compare, RUN)
+
+
+def refine_hot(blocks: DataFrame, span: int, words: int) -> DataFrame:
+    """RUN, as refine(), with one passage a row: passages are dealt, not blocks, and counted before they meet."""
+    schema = "doc_id long, salt long, unit byte, many boolean, first int, w0 long, w1 long"
 
+    def windows(batches):
+        for batch in batches:
+            for doc_id, salt, unit, many, first, count, block in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "salt", "unit", "many", "first", "count", "block"))):
+                raw = np.frombuffer(block, np.uint8)
+                _, offset, start, size = block_windows(unit, np.array([count]), np.array([len(raw)]), span, words)
+                w = [pa.array(window_sums(raw, start, size, base).view(np.int64)) for base in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+                fixed = [pa.array([x] * len(offset), k) for x, k in ((doc_id, pa.int64()), (salt, pa.int64()), (unit, pa.int8()), (many, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(first + offset, pa.int32()), *w], names=[x.split()[0] for x in schema.split(", ")])
+
+    every = keep(blocks.mapInArrow(windows, schema))
+    found = every.groupBy("unit", "w0", "w1").agg(F.count(F.lit(1)).alias("n"), F.min("salt").alias("lo"), F.max("salt").alias("hi"), F.max("many").alias("any"))
+    found = found.where("(unit = 0 AND n > 1) OR (unit = 1 AND (lo < hi OR any))").select("unit", "w0", "w1")
+    return every.join(found, ["unit", "w0", "w1"]).select("doc_id", "salt", "unit", "first", F.lit(1).alias("count"))
+
+
+def covered(runs, size: int) -> list[tuple[int, int]]:
+    """The disjoint spans, in order, that runs (first, count) of passages of `size` units cover."""
+    out: list[tuple[int, int]] = []
+    for f, c in sorted(runs):
+        stop = f + c - 1 + size
+        if out and f <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((f, stop))
+    return out
 
-def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept: one row per row of (doc_id, text), kept being the bytes that stay.
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept, n_shared_words, n_shared_spans: one row per row of (doc_id, text).
 
     A byte goes if it is covered by a string of `span` bytes that also starts anywhere else in the input, in the same
-    document or another, overlaps included. Null and empty texts have nothing to remove; rows that repeat id and text,
-    or text alone, are places of their own, so both lose all their bytes if there are `span`; null ids are documents
-    too. An empty table gives an empty result.
+    document or another, overlaps included; kept are the bytes that stay. n_shared_words counts the words covered by a
+    run of `words` words that another document has too (0: not asked for), n_shared_spans the runs; words are told apart
+    by 64-bit hashes, and nothing goes for their sake. Null and empty texts have nothing to remove; rows that repeat id
+    and text, or text alone, are places of their own, so both lose all their bytes if there are `span`, but rows equal in
+    both are one document; null ids are documents too. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ranges = max(2, partitions(spark))
     text = whole(F.col("text"))
     base = docs.select(F.col("doc_id").cast("long").alias("id"), text.cast("binary").alias("text"))
     # rows are told apart by id and a hash of the text; rows equal in both have equal passages and fare alike
     base = base.select("id", F.coalesce("id", F.lit(0)).alias("doc_id"), F.xxhash64("id", "text", F.col("id").isNull()).alias("salt"), "text")
-    long = base.select("doc_id", "salt", "text").where(F.octet_length("text") >= span)
-    splitters = sample_splitters(long, span, ranges)
-    dealt = suffixes(long, span, splitters).repartitionById(ranges, F.col("range"))
-    found = cut(compare_ranges(dealt))
-    extra = across_boundaries(found.where("what IN ('first', 'last')"))
-    found = found.where("what IN ('whole', 'part')").unionAll(spark.createDataFrame(extra, found.schema))
-    refined = refine(found.where("what = 'part'"), long, span, ranges)
-    runs = found.where("what = 'whole'").select("doc_id", "salt", "first", "count").unionAll(refined)
-    by_doc = runs.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    least = min(span, 2 * words - 1) if words else span
+    long = base.select("doc_id", "salt", "text").where(F.octet_length("text") >= least)
+    splitters, ranges = sample_splitters(long, span, words)
+    dealt = suffixes(long, span, words, splitters).repartitionById(ranges, F.col("range"))
+    found = keep(compare_ranges(dealt))
+    extra, ends = across_boundaries([r.asDict() for r in found.where("what IN ('first', 'last')").collect()])
+    named = F.concat_ws(" ", F.col("range").cast("string"), "what")
+    whole_blocks = found.where((F.col("what") == "whole") | named.isin(ends)).select(*[x.split()[0] for x in RUN.split(", ")])
+    parts = found.where("what = 'part'").unionAll(spark.createDataFrame([tuple(r.values()) for r in extra], found.schema))
+    keys = ["t0", "t1", "t2"]
+    hot = keep(parts.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).select(*keys))
+    if hot.count():
+        hot = broadcast_if_few(hot, BROADCAST_KEYS)
+        warm = keep(wanted(parts.join(hot, keys, "left_semi")))
+        refined = refine_hot(read_blocks(base, broadcast_if_few(warm, BROADCAST_DOCS), span, words), span, words)
+        refined = refined.unionAll(refine(read_blocks(base, wanted(parts.join(hot, keys, "left_anti")), span, words), span, words, ranges))
+    else:
+        refined = refine(read_blocks(base, wanted(parts), span, words), span, words, ranges)
+    runs = whole_blocks.unionAll(refined)
+    by_doc = runs.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("unit", "first", "count")).alias("runs"))
 
     def strip(batches):
         for batch in batches:
             rows = []
             for text, runs in zip(batch.column("text"), batch.column("runs")):
-                raw = text.as_py()
-                keep, spans, done = [], 0, 0
-                if runs.is_valid:
-                    stop = -1
-                    for f, c in sorted((r["first"], r["count"]) for r in runs.as_py()):
-                        if f > stop:
-                            keep.append(raw[done:f] if stop < 0 else raw[stop:f])
-                            spans += 1
-                            done = 0
-                        stop = max(stop, f + c - 1 + span)
-                    keep.append(raw[stop:])
-                else:
-                    keep.append(raw)
-                kept = b"".join(keep)
-                rows.append((len(raw), len(raw) - len(kept), spans, kept))
+                raw, runs = text.as_py(), runs.as_py() or []
+                gone = covered([(r["first"], r["count"]) for r in runs if not r["unit"]], span)
+                shared = covered([(r["first"], r["count"]) for r in runs if r["unit"]], words)
+                kept = b"".join(raw[s:e] for (_, s), (e, _) in itertools.pairwise([(0, 0), *gone, (len(raw), 0)]))
+                rows.append((len(raw), len(raw) - len(kept), len(gone), kept, sum(e - s for s, e in shared), len(shared)))
             if rows:
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared_words", "n_shared_spans"])
 
-    whole_rows = base.join(by_doc, ["doc_id", "salt"], "left").select("id", "text", "runs")
-    return whole_rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole_rows = base.join(by_doc, ["doc_id", "salt"], "left").select("id", "doc_id", "salt", "text", "runs")
+    return whole_rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_words long, n_shared_spans long")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words", "n_shared_spans")

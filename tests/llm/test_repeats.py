@@ -71,6 +71,21 @@ def test_matches_brute_force(documents, prose, seed, hot, ranges, monkeypatch):
     assert run_words(documents(rows), 64, 12) == brute_words(rows, 12)
 
 
+def test_word_hashes():
+    texts = [b"", b" a b\tc ", b"c", b"a\x0bb", "é é".encode(), b"\r\n", b"b a", b"cc"]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    h, stops = repeats.word_hashes(data, ends)
+    words = [w for t in texts for w in t.split()]
+    assert len(h) == len(words) and np.diff(np.concatenate([[0], stops])).tolist() == [len(t.split()) for t in texts]
+    assert len({(w, x) for w, x in zip(words, h.tolist())}) == len(set(words)) == len(set(h.tolist()))
+
+
+def test_covered():
+    first, count = np.array([7, 0, 1, 30]), np.array([1, 1, 2, 3])
+    assert repeats.covered(first, count, 5).tolist() == [[0, 12], [30, 37]]
+    assert repeats.covered(first[:0], count[:0], 5).tolist() == []
+
+
 def test_words_shared_across_documents_only(documents, prose, monkeypatch):
     monkeypatch.setattr(repeats, "RANGE_ROWS", 40)
     p, q = prose(1, 55), prose(2, 70)
@@ -81,7 +96,7 @@ def test_words_shared_across_documents_only(documents, prose, monkeypatch):
 
 
 def test_equal_hashes_of_unequal_passages(monkeypatch):
-    monkeypatch.setattr(repeats, "window_sums", lambda raw, starts, span: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(repeats, "window_hashes", lambda raw, starts, span: np.zeros(len(starts), np.uint64))
     raw = np.frombuffer(b"abcdefgh" + b"abcdefgi" + b"abcdefgh" + b"xxxxxxxx", np.uint8)
     assert equal_passages(raw, np.array([0, 8, 16, 24]), 8).tolist() == [True, False, True, False]
     assert equal_passages(raw, np.array([0, 8, 16, 24]), 8, np.array([1, 1, 1, 2]), np.zeros(4, bool)).tolist() == [False] * 4
@@ -113,6 +128,14 @@ def test_multikey_quicksort():
     assert [rows[i] for i in order] == sorted(rows)
 
 
+def test_keys_compare_like_tokens():
+    rng = np.random.default_rng(5)
+    tokens = [rng.integers(0, 1 << 62, 3000).astype(np.uint64) * np.uint64(4) for _ in range(2)] + [rng.integers(0, 300, 3000).astype(np.uint64)]
+    tokens[0][:2000] = tokens[0][0]
+    key = repeats.sort_key(tokens)
+    assert (np.argsort(key, kind="stable") == multikey_quicksort(tokens)).all()
+
+
 def test_equal_passages():
     raw = np.frombuffer(b"abcdefgh" * 3 + b"abcdefgi", np.uint8)
     starts = np.array([0, 8, 16, 24, 3])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, partitions, table
+from tidefold.llm.common import cut, partitions, table, tidy
 
 TILE = 2048
 PANEL = 2048
@@ -82,7 +82,7 @@ def pack_tiles(vectors: DataFrame, rows: int = TILE) -> DataFrame:
             if len(ids):
                 yield tile(dim, ids, v)
 
-    return vectors.mapInArrow(pack, TILE_SCHEMA)
+    return vectors.mapInArrow(tidy(pack), TILE_SCHEMA)
 
 
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     on, names = ["dim", "panel", "slot"], ["tile", "ids", "vectors", "codes", "scale", "residuals"]
     side = lambda df, p: df.select(*on, *[F.col(x).alias(f"{p}_{x}") for x in names])
     pairs = side(c, "c").join(side(q, "q"), on)
-    found = pairs.mapInArrow(join_tiles(k), "tile long, row int, query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(tidy(join_tiles(k)), "tile long, row int, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("tile", "row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import table, whole
+from tidefold.llm.common import table, tidy, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of a token: none, the kinds in order, secret.
@@ -321,7 +321,7 @@ def train(docs: DataFrame) -> Field:
             (what, key, label), n = zip(*counts), list(counts.values())
             yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(key), pa.array(label, pa.int32()), pa.array(n, pa.int64())], names=["what", "key", "label", "n"])
 
-    rows = part.mapInArrow(run, "what string, key string, label int, n long").groupBy("what", "key", "label").agg(F.sum("n").alias("n"))
+    rows = part.mapInArrow(tidy(run), "what string, key string, label int, n long").groupBy("what", "key", "label").agg(F.sum("n").alias("n"))
     tables: dict[str, dict[str, np.ndarray]] = {"node": {}, "word": {}}
     chain = {"near": np.zeros((LABELS, LABELS)), "far": np.zeros((LABELS, LABELS))}
     for what, key, label, n in rows.where("what IN ('near', 'far') OR n > 1").collect():
@@ -365,7 +365,7 @@ def find_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", *names])
 
     out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).mapInArrow(tidy(run), out)
 
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,11 @@ numpy walks for whole batches at once.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, table
+from tidefold.llm.common import cut, table, tidy
 
 #: The trees are grown on at most this many labelled rows, those with the smallest hashes of their ids.
 TRAIN_ROWS = 30000
@@ -64,7 +63,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             x = [statistics(t.as_py() or b"") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 class Trees:
@@ -161,7 +160,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(trees.scores(x))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -179,11 +178,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trees = fit(document_statistics(training_documents(docs, labels)), labels)
 
-    def good(text):
-        x = np.array([statistics(t or b"") for t in text], np.float64).reshape(-1, len(FEATURES))
-        return pd.Series(trees.scores(x) >= 0.5)
+    def good(text: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py() or b"") for t in text], np.float64).reshape(-1, len(FEATURES))
+        return pa.array(trees.scores(x) >= 0.5)
 
-    return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("binary")))
+    return docs.where(F.arrow_udf(good, "boolean")(F.col("text").cast("binary")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

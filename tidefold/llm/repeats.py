@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import broadcast_if_few, keep, partitions, table, whole
+from tidefold.llm.common import broadcast_if_few, keep, partitions, table, tidy, whole
 
 SPAN = 400
 #: Passages of over 50 words, which count where another document has them too.
@@ -39,9 +39,9 @@ GRAM = 8
 #: Splitters come from at least about this many documents, and from KEYS_PER_RANGE suffixes a range.
 SPLIT_DOCS, KEYS_PER_RANGE = 4000, 50
 #: Suffixes of a range, about; a row has 80 bytes.
-RANGE_ROWS = 1 << 20
+RANGE_ROWS = 1 << 19
 #: Blocks of equal leading tokens that one task compares at most.
-HOT_ROWS = 2000
+HOT_ROWS = 20000
 #: Hot leading tokens, and documents with their blocks, that are sent to all tasks at most.
 BROADCAST_KEYS, BROADCAST_DOCS = 200000, 100000
 #: Texts are worked on in slabs of about this many bytes; a longer text is a slab of its own.
@@ -95,10 +95,37 @@ def blocks(h: np.ndarray, n: int, ends: np.ndarray, span: int, width: int) -> tu
     return at[first], np.diff(np.concatenate([first, [len(at)]])), anchor[at[first]]
 
 
-def word_hashes(raw) -> np.ndarray:
-    """A hash of each word of a text; words are runs without ASCII white space."""
-    words = bytes(raw).split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+#: Codes of letters, and bytes that separate words.
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64)) ^ (np.arange(1, 257, dtype=np.uint64) * _MUL2)
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+BASES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def string_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Hashes of the strings codes[start:stop], wherever they are; codes are uint64."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(base, len(codes)), out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(codes) + 1)[starts])
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of texts one after another that end at `ends`, and each text's last word's place plus 1.
+    Words are runs without ASCII white space."""
+    black = ~BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)  # a text begins here
+    edge[ends] = edge[0] = True
+    before = np.concatenate([[False], black[:-1]]) & ~edge[:-1]
+    starts = np.flatnonzero(black & ~before)
+    after = np.concatenate([black[1:], [False]]) & ~edge[1:]
+    stops = np.flatnonzero(black & ~after) + 1
+    return string_hashes(LETTERS[data], starts, stops), np.searchsorted(starts, ends)
 
 
 def slabs(texts: pa.Array):
@@ -134,8 +161,7 @@ def suffix_rows(texts: pa.Array, span: int, words: int):
                 tokens = [big[anchor].byteswap(), big[anchor + 8].byteswap(), *block_tokens(memoryview(data), 1, first, count, anchor, span, span // 2)]
                 yield 0, rows[which], first - begins[which], count, tokens
         if words:
-            each = [word_hashes(data[s:e]) for s, e in zip(begins, ends)]
-            w, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            w, stops = word_hashes(data, ends)
             width = words // 2 + 1
             first, count, anchor = blocks(mixed(w), len(w), stops, words, width)
             if len(first):
@@ -146,7 +172,7 @@ def suffix_rows(texts: pa.Array, span: int, words: int):
 
 def sort_key(tokens: list[np.ndarray]) -> np.ndarray:
     """Fixed-width strings that compare like the rows of tokens."""
-    wide = np.stack([t.astype(">u8") for t in tokens], 1)
+    wide = np.stack(tokens, 1).astype(">u8")  # after stacking, which makes native integers
     return np.ascontiguousarray(wide).view(f"S{8 * len(tokens)}").ravel()
 
 
@@ -199,7 +225,7 @@ def suffixes(docs: DataFrame, span: int, words: int, splitters: np.ndarray | Non
                 cols = [pa.array(ids[row]), pa.array(salt[row]), pa.array(np.full(len(row), unit, np.int8)), pa.array(first, pa.int32()), pa.array(count, pa.int32()), *map(as_signed, tokens), pa.array(r, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=SUFFIX_NAMES)
 
-    return docs.select("doc_id", "salt", "text").mapInArrow(run, SUFFIX)
+    return docs.select("doc_id", "salt", "text").mapInArrow(tidy(run), SUFFIX)
 
 
 def sample_splitters(docs: DataFrame, span: int, words: int) -> tuple[np.ndarray, int]:
@@ -269,7 +295,7 @@ def compare_ranges(dealt: DataFrame) -> DataFrame:
                     cols = [*(c[x][order[at]] for x in SUFFIX_NAMES), n[g], lo[g], hi[g]]
                     yield pa.RecordBatch.from_arrays([pa.array([what] * len(at)), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=names)
 
-    return dealt.mapInArrow(run, FOUND)
+    return dealt.mapInArrow(tidy(run), FOUND)
 
 
 def across_boundaries(ends: list[dict]) -> tuple[list[dict], list[str]]:
@@ -297,21 +323,17 @@ def across_boundaries(ends: list[dict]) -> tuple[list[dict], list[str]]:
     return parts, whole
 
 
-def window_sums(raw: np.ndarray, starts: np.ndarray, span: int, base: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
-    """Hashes of the strings of `span` bytes that begin at `starts`."""
-    weights = np.uint64(base) ** np.arange(1, len(raw) + 1, dtype=np.uint64)
-    inverse = np.uint64(pow(base, -1, 1 << 64)) ** starts.astype(np.uint64)
-    letters = (np.arange(1, 257, dtype=np.uint64) * _MUL) ^ (np.arange(1, 257, dtype=np.uint64) * _MUL2 >> np.uint64(7))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[raw] * weights, dtype=np.uint64)])
-    return (sums[starts + span] - sums[starts]) * inverse
+def window_hashes(raw: np.ndarray, starts: np.ndarray, span: int, base: int = BASES[0]) -> np.ndarray:
+    """Hashes of the strings of `span` units that begin at `starts`; raw: bytes, or the hashes of words."""
+    return string_hashes(LETTERS[raw] if raw.dtype == np.uint8 else raw, starts, starts + span, base)
 
 
 def equal_passages(raw: np.ndarray, starts: np.ndarray, span: int, owner: np.ndarray | None = None, many: np.ndarray | None = None) -> np.ndarray:
-    """Which of the strings that start at `starts` occur there more than once; with `owner`, for more than one owner, or
-    where one of them has `many`. Compared by hash first, then by bytes."""
+    """Which of the strings of `span` units that start at `starts` occur there more than once; with `owner`, for more
+    than one owner, or where one of them has `many`. Compared by hash first, then unit by unit."""
     if not len(starts):
         return np.zeros(0, bool)
-    h = window_sums(raw, starts, span)
+    h = window_hashes(raw, starts, span)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     view = np.lib.stride_tricks.sliding_window_view(raw, span)
@@ -322,14 +344,16 @@ def equal_passages(raw: np.ndarray, starts: np.ndarray, span: int, owner: np.nda
         odd |= set(h[a[differ]].tolist())
     label = np.empty(len(starts), np.int64)
     label[order] = np.cumsum(np.concatenate([[0], ~same]))
-    for x in odd:  # unequal strings of one hash: all of them, by their bytes
+    for x in odd:  # unequal strings of one hash: all of them, by their units
         seen: dict[bytes, int] = {}
         for i in np.flatnonzero(h == np.uint64(x)).tolist():
             label[i] = seen.setdefault(view[starts[i]].tobytes(), len(starts) + i)
-    _, label, n = np.unique(label, return_inverse=True, return_counts=True)
+    if odd:
+        label = np.unique(label, return_inverse=True)[1]
+        order = np.argsort(label, kind="stable")
+    n = np.bincount(label)
     if owner is None:
         return (n > 1)[label]
-    order = np.argsort(label, kind="stable")
     begin = np.concatenate([[0], np.cumsum(n)[:-1]])
     hit = np.minimum.reduceat(owner[order], begin) < np.maximum.reduceat(owner[order], begin)
     return (hit | np.logical_or.reduceat(many[order], begin))[label]
@@ -339,13 +363,18 @@ BLOCK = "doc_id long, salt long, unit byte, many boolean, first int, count int,
 RUN = "doc_id long, salt long, unit byte, first int, count int"
 
 
-def block_windows(unit: int, count: np.ndarray, lengths: np.ndarray, span: int, words: int):
-    """(owner, offset, start, bytes): the block, its passage and the passage's place in the joined bytes of blocks."""
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def block_windows(count: np.ndarray, lengths: np.ndarray):
+    """(owner, offset, start) of each passage: its block, its place in it and its place in the joined units of blocks."""
+    begin = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(count)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    wide = 8 if unit else 1
-    return owner, offset, begin[owner] + offset * wide, (words if unit else span) * wide
+    return owner, offset, begin[owner] + offset
+
+
+def units(blocks: list[bytes], unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The joined units of blocks, and how many each has."""
+    raw = np.frombuffer(b"".join(blocks), np.uint64 if unit else np.uint8)
+    return raw, np.array([len(x) for x in blocks]) // (8 if unit else 1)
 
 
 def wanted(parts: DataFrame) -> DataFrame:
@@ -363,7 +392,7 @@ def read_blocks(base: DataFrame, want: DataFrame, span: int, words: int) -> Data
         for batch in batches:
             for doc_id, salt, text, want in zip(*(batch.column(n) for n in ("doc_id", "salt", "text", "want"))):
                 raw, asked = text.as_py(), want.as_py()
-                hashes = word_hashes(raw).tobytes() if any(w["unit"] for w in asked) else b""
+                hashes = word_hashes(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0].tobytes() if any(w["unit"] for w in asked) else b""
                 cols = [[] for _ in names]
                 for w in asked:
                     data, wide, size = (hashes, 8, words) if w["unit"] else (raw, 1, span)
@@ -373,7 +402,7 @@ def read_blocks(base: DataFrame, want: DataFrame, span: int, words: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
     # id is read for nothing here, so that texts are shuffled once, for this join and the last one
-    return base.join(want, ["doc_id", "salt"]).select("id", "doc_id", "salt", "text", "want").mapInArrow(read, BLOCK)
+    return base.join(want, ["doc_id", "salt"]).select("id", "doc_id", "salt", "text", "want").mapInArrow(tidy(read), BLOCK)
 
 
 def refine(blocks: DataFrame, span: int, words: int, ranges: int) -> DataFrame:
@@ -387,9 +416,9 @@ def refine(blocks: DataFrame, span: int, words: int, ranges: int) -> DataFrame:
             if not own:
                 continue
             doc_id, salt, many, first, count = (np.array([t[n][i] for i in own]) for n in ("doc_id", "salt", "many", "first", "count"))
-            block = [t["block"][i] for i in own]
-            owner, offset, start, size = block_windows(unit, count, np.array([len(x) for x in block]), span, words)
-            hit = equal_passages(np.frombuffer(b"".join(block), np.uint8), start, size, *((salt[owner], many[owner]) if unit else ()))
+            raw, lengths = units([t["block"][i] for i in own], unit)
+            owner, offset, start = block_windows(count, lengths)
+            hit = equal_passages(raw, start, words if unit else span, *((salt[owner], many[owner]) if unit else ()))
             new = hit & (np.concatenate([[True], ~hit[:-1]]) | (offset == 0))
             at = np.flatnonzero(new)
             if len(at):
@@ -414,7 +443,7 @@ def refine(blocks: DataFrame, span: int, words: int, ranges: int) -> DataFrame:
         if size:
             yield from runs(held)
 
-    return dealt.mapInArrow(compare, RUN)
+    return dealt.mapInArrow(tidy(compare), RUN)
 
 
 def refine_hot(blocks: DataFrame, span: int, words: int) -> DataFrame:
@@ -424,28 +453,27 @@ def refine_hot(blocks: DataFrame, span: int, words: int) -> DataFrame:
     def windows(batches):
         for batch in batches:
             for doc_id, salt, unit, many, first, count, block in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "salt", "unit", "many", "first", "count", "block"))):
-                raw = np.frombuffer(block, np.uint8)
-                _, offset, start, size = block_windows(unit, np.array([count]), np.array([len(raw)]), span, words)
-                w = [pa.array(window_sums(raw, start, size, base).view(np.int64)) for base in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+                raw, lengths = units([block], unit)
+                _, offset, start = block_windows(np.array([count]), lengths)
+                w = [pa.array(window_hashes(raw, start, words if unit else span, base).view(np.int64)) for base in BASES]
                 fixed = [pa.array([x] * len(offset), k) for x, k in ((doc_id, pa.int64()), (salt, pa.int64()), (unit, pa.int8()), (many, pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(first + offset, pa.int32()), *w], names=[x.split()[0] for x in schema.split(", ")])
 
-    every = keep(blocks.mapInArrow(windows, schema))
+    every = keep(blocks.mapInArrow(tidy(windows), schema))
     found = every.groupBy("unit", "w0", "w1").agg(F.count(F.lit(1)).alias("n"), F.min("salt").alias("lo"), F.max("salt").alias("hi"), F.max("many").alias("any"))
     found = found.where("(unit = 0 AND n > 1) OR (unit = 1 AND (lo < hi OR any))").select("unit", "w0", "w1")
     return every.join(found, ["unit", "w0", "w1"]).select("doc_id", "salt", "unit", "first", F.lit(1).alias("count"))
 
 
-def covered(runs, size: int) -> list[tuple[int, int]]:
-    """The disjoint spans, in order, that runs (first, count) of passages of `size` units cover."""
-    out: list[tuple[int, int]] = []
-    for f, c in sorted(runs):
-        stop = f + c - 1 + size
-        if out and f <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], stop))
-        else:
-            out.append((f, stop))
-    return out
+def covered(first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """The disjoint spans (start, stop), in order, that runs of passages of `size` units cover."""
+    if not len(first):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(first, kind="stable")
+    start = first[order].astype(np.int64)
+    stop = np.maximum.accumulate(start + count[order] - 1 + size)
+    new = np.concatenate([[True], start[1:] > stop[:-1]])
+    return np.stack([start[new], stop[np.concatenate([new[1:], [True]])]], 1)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
@@ -486,20 +514,22 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> Dat
 
     def strip(batches):
         for batch in batches:
-            rows = []
-            for text, runs in zip(batch.column("text"), batch.column("runs")):
-                raw, runs = text.as_py(), runs.as_py() or []
-                gone = covered([(r["first"], r["count"]) for r in runs if not r["unit"]], span)
-                shared = covered([(r["first"], r["count"]) for r in runs if r["unit"]], words)
-                kept = b"".join(raw[s:e] for (_, s), (e, _) in itertools.pairwise([(0, 0), *gone, (len(raw), 0)]))
-                rows.append((len(raw), len(raw) - len(kept), len(gone), kept, sum(e - s for s, e in shared), len(shared)))
+            rows, every = [], batch.column("runs")
+            flat, offsets = every.flatten().flatten(), np.concatenate([[0], np.cumsum(every.value_lengths().fill_null(0))])
+            unit, first, count = (x.to_numpy() for x in flat)
+            for text, s, e in zip(batch.column("text"), offsets[:-1].tolist(), offsets[1:].tolist()):
+                raw, word = text.as_py(), unit[s:e] == 1
+                gone = covered(first[s:e][~word], count[s:e][~word], span)
+                shared = covered(first[s:e][word], count[s:e][word], words)
+                kept = b"".join(raw[x:y] for (_, x), (y, _) in itertools.pairwise([(0, 0), *gone.tolist(), (len(raw), 0)])) if len(gone) else raw
+                rows.append((len(raw), len(raw) - len(kept), len(gone), kept, int((shared[:, 1] - shared[:, 0]).sum()), len(shared)))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared_words", "n_shared_spans"])
 
     whole_rows = base.join(by_doc, ["doc_id", "salt"], "left").select("id", "doc_id", "salt", "text", "runs")
-    return whole_rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_words long, n_shared_spans long")
+    return whole_rows.mapInArrow(tidy(strip), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_words long, n_shared_spans long")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import broadcast_if_few, cut, keep, table
+from tidefold.llm.common import broadcast_if_few, cut, keep, table, tidy
 from tidefold.llm.links import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(more))], names=["doc_id", "salt", "fp", "more"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_salt().alias("salt"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, salt long, fp long, more long")
+    return rows.mapInArrow(tidy(run), "doc_id long, salt long, fp long, more long")
 
 
 def text_salt():
@@ -265,7 +265,7 @@ def links(distinct: DataFrame, threshold: int, all_bits: int = 128) -> DataFrame
                 keys.append(F.struct(F.lit(i).alias("part"), mask.bitwiseXOR(F.lit(signed(sum(1 << b for b in c)))).alias("value")))
     spread = distinct.select("id", "fp", "more", F.explode(F.array(*keys)).alias("key")).select("key.part", "key.value", "id", "fp", "more")
     dealt = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "value").sortWithinPartitions("part", "value")
-    return dealt.mapInArrow(probe(threshold, all_bits), "a long, b long")
+    return dealt.mapInArrow(tidy(probe(threshold, all_bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -351,7 +351,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "salt", "s1", "s2", "n", "fp", "more", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_salt().alias("salt"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, salt long, s1 long, s2 long, n long, fp long, more long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, salt long, s1 long, s2 long, n long, fp long, more long, bands array<long>")
 
 
 def similar_links(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -414,7 +414,7 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFra
 
     texts = docs.select(sort_id().alias("_sh_k"), text_salt().alias("_sh_s"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(broadcast_if_few(places, BROADCAST_CANDIDATES), ["_sh_k", "_sh_s"]).select("id", "root", "k", "text")
-    sets = texts.mapInArrow(read, "id long, root long, k int, set binary")
+    sets = texts.mapInArrow(tidy(read), "id long, root long, k int, set binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tiles = sets.select("id", "root", "block", "set", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 

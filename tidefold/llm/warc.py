@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, new_folder, table, whole
+from tidefold.llm.common import cut, new_folder, table, tidy, whole
 
 RECORDS_PER_FILE = 1000
 #: Groups of equal payloads, a digest and an id each, that are sent to all tasks at most.
@@ -187,7 +187,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return files.mapInArrow(parse, READ_SCHEMA)
+    return files.mapInArrow(tidy(parse), READ_SCHEMA)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

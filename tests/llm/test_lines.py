@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tidefold.llm import lines
 from tidefold.llm.lines import LEAST_WORDS, NEAR_WORDS, dedup_lines, strip_lines
 
 
@@ -36,12 +37,12 @@ def brute(rows):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(documents, prose, seed):
     rng = random.Random(seed)
-    lines = [prose(seed * 100 + i, rng.choice([1, 2, 4, 8, 9, 12, 20])) for i in range(25)]
+    common = [prose(seed * 100 + i, rng.choice([1, 2, 4, 8, 9, 12, 20])) for i in range(25)]
     rows = []
     for i in range(40):
         own = []
         for _ in range(rng.randint(0, 6)):
-            w = rng.choice(lines).split()
+            w = rng.choice(common).split()
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
                 j = rng.randrange(len(w)) if w else 0
                 kind = rng.randrange(3)
@@ -60,6 +61,30 @@ def test_one_common_line_with_many_variants(documents, prose):
     assert got[0] == rows[0][1] and all(not got[i] for i in range(1, 200))
 
 
+def test_a_star_is_dealt_over_tasks(documents, prose, monkeypatch):
+    monkeypatch.setattr(lines, "STAR_ROWS", 10)
+    test_one_common_line_with_many_variants(documents, prose)
+
+
+def test_long_lines(documents, prose):
+    a = prose(4, 5000).split()
+    b, c, d = a[:2500] + ["new"] + a[2501:], a[:4999], a[:100] + a[102:]
+    got = {r.row.doc_id: r.n_near for r in dedup_lines(documents([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(d))])).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_runs_of_xor(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([(i * 2654435761) ^ (i << 40) for i in range(n)],) for n in (1, 2, 3, 4, 5, 8, 9, 10, 17, 100)]
+    got = spark.createDataFrame(rows, "v array<long>").select("v", lines.runs_of_xor(F.col("v"), F.size("v")).alias("x")).collect()
+    for r in got:
+        want = [0]
+        for v in r.v:
+            want.append(want[-1] ^ v)
+        assert r.x == want
+
+
 def test_edges_and_columns(documents, prose):
     t = prose(3, 12)
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, t), (5, t + "\n" + prose(4, 9)), (None, t), (6, t), (6, t), (7, "one two"), (8, "one two")]

@@ -25,6 +25,8 @@ NEAR_WORDS = 8
 #: Lines with fewer words than this always stay.
 LEAST_WORDS = 3
 SPACE = r"[\x20\x09-\x0D]+"
+#: Pairs with one best line that a task verifies, about.
+STAR_ROWS = 256
 #: Half keys that lines share, and repeated lines with their first places, that are sent to all tasks at most.
 BROADCAST_KEYS, BROADCAST_LINES = 500000, 200000
 #: Documents with candidate lines, an id and line numbers each, that are sent to all tasks at most.
@@ -73,14 +75,46 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return keys.join(broadcast_if_few(shared, BROADCAST_KEYS), "key").select("h").distinct().join(near.select("h", "first"), "h")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: what a lambda refers to would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs_of_xor(values: Column, n: Column) -> Column:
+    """For i from 0 to n the xor of the first i of n values, in about n to the power of 1.5 steps: whole blocks of the
+    square root of n values first, then what is left of a block."""
+    xor = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
+
+    def blocked(x, size):
+        every = F.sequence(F.lit(0), F.floor(n / size).cast("int"))
+        at = lambda i: F.floor(i / size).cast("int")
+        upto = lambda before: F.transform(F.sequence(F.lit(0), n), lambda i: F.element_at(before, at(i) + 1).bitwiseXOR(xor(F.slice(x, at(i) * size + 1, i - at(i) * size))))
+        sums = lambda block: let(F.transform(every, lambda k: xor(F.slice(block, F.lit(1), k))), upto)
+        return let(F.transform(every, lambda k: xor(F.slice(x, k * size + 1, size))), sums)
+
+    size = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+    return let(values, lambda x: let(size, lambda z: blocked(x, z)))
+
+
 def variants(lines: DataFrame) -> DataFrame:
-    """v, at (the deleted word's place, -1 for the line itself), place, h of (h, place, words)."""
-    wh = lines.select("h", "place", hashes(F.col("words")).alias("wh"))
-    n = F.size("wh")
-    cut_out = lambda i: F.struct(F.xxhash64(F.concat(F.slice("wh", F.lit(1), i), F.slice("wh", i + 2, n)), F.lit(-1)).alias("v"), i.alias("at"))
-    itself = F.struct(F.xxhash64("wh", F.lit(-1)).alias("v"), F.lit(-1).alias("at"))
-    every = F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), n - 1), cut_out))
-    return wh.select("h", "place", F.explode(every).alias("x")).select("x.v", "x.at", "place", "h")
+    """v, at (the deleted word's place, -1 for the line itself), place, h of (h, place, words).
+
+    A sequence's hash is the xor of its words' hashes with their places, so that of a variant follows from what the
+    words before the deleted one and, a place nearer, those behind it add up to."""
+    wh = lines.select("h", "place", hashes(F.col("words")).alias("wh")).withColumn("n", F.size("wh"))
+    stay = F.transform("wh", lambda w, i: F.xxhash64(w, i))
+    move = F.transform("wh", lambda w, i: F.xxhash64(w, i - 1))
+    hashed = wh.select("h", "place", "n", stay.alias("stay"), move.alias("move"))
+    sums = hashed.select("h", "place", "n", F.struct(runs_of_xor(F.col("stay"), F.col("n")).alias("stay"), runs_of_xor(F.col("move"), F.col("n")).alias("move")).alias("sums"))
+    sealed = lambda v, n: F.xxhash64(v, n, F.lit(-1))
+
+    def cut_outs(x):
+        without = lambda i: F.element_at(x["stay"], i + 1).bitwiseXOR(F.element_at(x["move"], -1)).bitwiseXOR(F.element_at(x["move"], i + 2))
+        itself = F.struct(sealed(F.element_at(x["stay"], -1), F.col("n")).alias("v"), F.lit(-1).alias("at"))
+        return F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(sealed(without(i), F.col("n") - 1).alias("v"), i.alias("at"))))
+
+    every = let(F.col("sums"), cut_outs)
+    return sums.select("h", "place", F.explode(every).alias("x")).select("x.v", "x.at", "place", "h")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -113,8 +147,16 @@ def near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
     replaced = v.join(by_place.where("at >= 0 AND c > 1"), ["v", "at"]).select("h", "place", "best")
     inserted = v.join(by_line, "v").select("h", "place", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("itself")).alias("best"))
     pairs = replaced.unionAll(inserted).where(F.col("best.place") < F.col("place")).select("h", F.col("best.h").alias("g")).distinct()
-    words = lines.groupBy("h").agg(F.min("words").alias("words"))
-    pairs = pairs.join(words.select("h", F.col("words").alias("a")), "h").join(words.select(F.col("h").alias("g"), F.col("words").alias("b")), "g")
+    pairs = keep(pairs)
+    words = keep(lines.groupBy("h").agg(F.min("words").alias("words")))
+    # a best line of many others is repeated, so that its pairs are dealt over tasks of about STAR_ROWS
+    stars = keep(pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("k")).where("k > 1"))
+    stars = broadcast_if_few(stars, BROADCAST_KEYS)
+    share = lambda c, k: F.coalesce(F.col(k), F.lit(1)) if c is None else F.pmod(F.xxhash64(c, F.lit(7)), F.coalesce(F.col(k), F.lit(1))).cast("int")
+    pairs = pairs.join(stars, "g", "left").select("h", "g", share("h", "k").alias("s"))
+    best = words.select(F.col("h").alias("g"), F.col("words").alias("b")).join(pairs.select("g").distinct(), "g", "left_semi")
+    best = best.join(stars, "g", "left").select("g", "b", F.explode(F.sequence(F.lit(0), share(None, "k") - 1)).alias("s"))
+    pairs = pairs.join(words.select("h", F.col("words").alias("a")), "h").join(best, ["g", "s"])
     return pairs.where(within_one(F.col("a"), F.col("b"))).select("h").distinct()
 
 
@@ -124,7 +166,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts have one line without words, which stays, as do all lines of fewer than LEAST_WORDS words.
     Rows equal in doc_id and text are one document and lose the same lines; null ids come last. Line ends are \\n; a
     line's other white space and letters' case don't count. A line of n words that has a candidate partner costs
-    n * n steps. An empty table gives an empty result.
+    about n to the power of 1.5 steps. An empty table gives an empty result.
     """
     base = keyed(docs)
     occ = keep(occurrences(base))

@@ -57,6 +57,22 @@ def test_oracle(documents, prose):
     assert plain(want) == plain([tuple(r) for r in got])
 
 
+def test_null_ids_are_told_apart(documents, prose):
+    rows = [(None, prose(i, 20), "a") for i in range(200)] + [(i, prose(i + 500, 30), "b") for i in range(200)]
+    got = mix_sources(documents(rows), weights=(1, 5)).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 15
+    assert 0 < sum(r.copies for r in got if r.source == "a") < 200
+
+
+def test_one_more_document_brings_a_source_nearer(documents, prose):
+    rows = [(i, prose(i, 900), "a") for i in range(20)] + [(100 + i, prose(100 + i, 10 + 22 * i), "a") for i in range(40)] + [(300, prose(1, 11_000), "b"), (301, prose(2, 11_500), "b")]
+    got = mix_sources(documents(rows), weights=(1, 1)).collect()
+    own = [r for r in got if r.source == "a"]
+    assert own[0].target % own[0].source_size > 0 and abs(sum(r.copies * r.size for r in own) - own[0].target) <= 60
+
+
 def test_repeats_rows(documents, prose):
     df = documents(rows_of(prose))
     want = Counter()

@@ -25,7 +25,7 @@ def test_boundaries_are_optimal(seed):
 
 def test_batches(documents, prose, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 40)
-    rows = [(i, prose(i, 1 + i * 13 % 200)) for i in range(300)] + [(500, None), (501, ""), (None, "a b"), (7, prose(7, 92)), (600, prose(1, 5000))]
+    rows = [(i, prose(i, 1 + i * 13 % 200)) for i in range(300)] + [(500, None), (501, ""), (None, "a b"), (7, prose(7, 92)), (600, prose(1, 5000)), (601, "w " * 33_001), (602, "w " * 33_003), (603, "w " * 70_001)]
     got = pack_documents(documents(rows), 4, 1000).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
     batches, lengths = defaultdict(list), {}

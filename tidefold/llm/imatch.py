@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
-Terms are lower-cased words hashed to 2^18 cells, so that the lexicon is bounded for any corpus: a bit for each cell
-whose share of documents lies within the band. A text's distinct lexicon terms are sorted, and randomised subsets of
-the lexicon each hash those that fall in them. Subsets must be sparse enough that an edit leaves some of them alone and
+Terms are lower-cased words, told apart by 64-bit hashes; the lexicon is those whose share of documents lies within the
+band. It is bounded for any corpus: a document's terms are one in BAND[0] times n at most, so that the lexicon has no
+more terms than 1 / BAND[0] times the mean number of distinct terms. A text's distinct lexicon terms are sorted, and
+randomised subsets of the lexicon each hash those that fall in them. Subsets must be sparse enough that an edit leaves some of them alone and
 dense enough to hold a term, so their density follows the text's number of lexicon terms: a text with 2^c to 2^(c+1)
 terms takes SUBSETS subsets with density 2^-c and as many with 2^-(c+1). Texts that differ less than twice in terms so
 have subsets of one density to compare. Likeness is the share of equal hashes among the subsets that either text has
@@ -11,43 +12,43 @@ terms in. A text without a lexicon term has the hash of all its distinct terms i
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, partitions, table, whole
 
-CELL_BITS = 18
 #: Terms in at least this share of documents, and in at most that one, are the lexicon.
 BAND = (1 / 500, 1 / 10)
 SUBSETS = 16
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def term_cells(text: Column) -> Column:
-    """Distinct cells of the words, sorted."""
+def terms(text: Column) -> Column:
+    """Distinct hashes of the words, sorted."""
     words = F.filter(F.split(F.lower(text), SPACE), lambda t: t != "")
-    cells = F.transform(words, lambda t: F.xxhash64(t).bitwiseAND(F.lit((1 << CELL_BITS) - 1)))
-    return F.sort_array(F.array_distinct(cells))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """2^CELL_BITS bits in longs as a literal array: the cells whose share of the documents is within the band."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[list[int]]:
+    """The terms whose share of the documents is within the band, in a power of two buckets by their low bits."""
     n = docs.count()
-    cells = docs.select(F.explode(term_cells(whole(F.col("text")))).alias("cell"))
-    counts = cells.groupBy("cell").count().where((F.col("count") >= band[0] * n) & (F.col("count") <= max(1.0, band[1] * n)))
-    bits = counts.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits"))
-    longs = [0] * (1 << CELL_BITS - 6)
-    for at, x in bits.collect():  # at most 4,096 rows
-        longs[at] = x
-    return F.expr("array(" + ",".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in longs) + ")")
+    counts = docs.select(F.explode(terms(whole(F.col("text")))).alias("term")).groupBy("term").count()
+    found = [r[0] for r in counts.where((F.col("count") >= band[0] * n) & (F.col("count") <= max(1.0, band[1] * n))).select("term").collect()]  # bounded, see above
+    buckets: list[list[int]] = [[] for _ in range(1 << max(4, len(found).bit_length() - 1))]
+    for t in sorted(found):
+        buckets[t & (len(buckets) - 1)].append(t)
+    return buckets
 
 
-def fingerprints(rows: DataFrame, text: str, lex: Column, out: str) -> DataFrame:
+def fingerprints(rows: DataFrame, text: str, buckets: list[list[int]], out: str) -> DataFrame:
     """`rows` with column `out` added: the fingerprint of column `text` (not null)."""
-    in_lexicon = lambda x: F.element_at(lex, F.shiftright(x, 6).cast("int") + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))) != 0
+    lex = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")  # folded into a constant
+    in_lexicon = lambda x: F.array_contains(F.element_at(lex, x.bitwiseAND(F.lit(len(buckets) - 1)).cast("int") + 1), x)
     short = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    rows = rows.withColumn("_cells", term_cells(F.col(text)))
-    rows = rows.withColumn("_mixed", F.transform(F.filter("_cells", in_lexicon), lambda x: F.xxhash64(x, F.lit(1))))
+    rows = rows.withColumn("_terms", terms(F.col(text)))
+    rows = rows.withColumn("_mixed", F.transform(F.filter("_terms", in_lexicon), lambda x: F.xxhash64(x, F.lit(1))))
     n = F.size("_mixed")
     rows = rows.withColumn("_c", F.when(n > 0, F.floor(F.log2(n.cast("double"))).cast("int")).otherwise(-1))
     for level, name in ((0, "_a"), (1, "_b")):
@@ -56,10 +57,10 @@ def fingerprints(rows: DataFrame, text: str, lex: Column, out: str) -> DataFrame
         one = lambda k: F.filter("_some", lambda v: v.bitwiseAND(F.col("_mask")) == k)
         subsets = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
         rows = rows.withColumn(name, F.transform(subsets, lambda s: F.when(F.size(s) > 0, short(F.xxhash64(s))).otherwise(-1)))
-    every = F.array(short(F.xxhash64("_cells")))
+    every = F.array(short(F.xxhash64("_terms")))
     struct = F.struct("_c", F.when(F.col("_c") < 0, every).otherwise(F.col("_a")).alias("a"), F.when(F.col("_c") < 0, every).otherwise(F.col("_b")).alias("b"))
     struct = struct.cast("struct<c:int,a:array<int>,b:array<int>>")
-    return rows.withColumn(out, struct).drop("_cells", "_mixed", "_c", "_mask", "_some", "_a", "_b")
+    return rows.withColumn(out, struct).drop("_terms", "_mixed", "_c", "_mask", "_some", "_a", "_b")
 
 
 def likeness(f: Column, g: Column) -> Column:

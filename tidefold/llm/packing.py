@@ -11,18 +11,10 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, table, word_count
 
-#: Lengths up to this have a histogram cell each; longer ones are rounded up to 1/256 of their power of two, so that
-#: the histogram has at most EXACT + 128 * 47 rows for any input.
-EXACT = 32768
 #: Documents of a bucket are dealt over shards of about this many rows, each of which ends in at most one part-full batch.
 SHARD_ROWS = 65536
 
 
-def length_cell(length):
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 7)
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
 def optimal_boundaries(histogram: list[tuple[int, int]], n_buckets: int) -> tuple[list[int], int]:
     """The at most n_buckets largest lengths of buckets with the least padding, and that padding.
 
@@ -72,13 +64,15 @@ def pack_documents(docs: DataFrame, n_buckets: int = 16, token_budget: int = 655
     """doc_id, length, bucket, padded_length, shard, batch, padding: one row per row of `docs`.
 
     `length`: a column of token counts; else the words of `text`. A batch is (bucket, shard, batch); its rows times
-    the bucket's padded length stay within token_budget, but a document longer than that is a batch by itself. Null and
+    the bucket's padded length stay within token_budget, but a document longer than that is a batch by itself. Boundaries
+    have the least padding for any lengths: k distinct lengths add up to k * k / 2 tokens or more, so the histogram that
+    the driver works on has at most as many rows as the square root of twice all tokens. Null and
     empty texts have length 0 and go to the shortest bucket; null ids are packed like others; repeated rows are packed
     once each; an empty table gives an empty result.
     """
     sized = docs.select("doc_id", (word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("length"))
-    sized = cut(sized.withColumn("cell", length_cell(F.col("length"))))
-    histogram = [(r[0], r[1]) for r in sized.groupBy("cell").count().collect()]  # bounded: see EXACT
+    sized = cut(sized)
+    histogram = [(r[0], r[1]) for r in sized.groupBy("length").count().collect()]
     bounds, _ = optimal_boundaries(histogram, n_buckets)
     if not bounds:
         return sized.selectExpr("doc_id", "length", "0 AS bucket", "0L AS padded_length", "0L AS shard", "0L AS batch", "0L AS padding").limit(0)
@@ -86,7 +80,7 @@ def pack_documents(docs: DataFrame, n_buckets: int = 16, token_budget: int = 655
     per = [max(1, token_budget // max(1, b)) for b in bounds]
     shards = [max(1, round(n / SHARD_ROWS)) for n in rows]
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
-    bucket = sum((F.col("cell") > F.lit(b)).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+    bucket = sum((F.col("length") > F.lit(b)).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     out = sized.withColumn("bucket", bucket).withColumn("padded_length", pick(bounds))
     out = out.withColumn("order", F.xxhash64("doc_id", "length")).withColumn("shard", F.pmod("order", pick(shards)))
     place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("order", "doc_id")) - 1

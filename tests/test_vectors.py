@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.functions import udfs
-from tidefold.operators import collections, search, temporal
+from tidefold.operators import ann, collections, search, temporal, tiles
 
 
 def clustered(spark, seed=42):
@@ -36,6 +36,8 @@ def test_batch_lanes_agree(spark, monkeypatch):
     want = {q: truth(v, v[q].astype(float), 5) for q in range(0, 500, 50)}
     for block in (4096, 3):
         monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(tiles, "BROADCAST_BYTES", block * 256)
+        monkeypatch.setattr(tiles, "TILE", block)
         for lane in (search.batch, search.batch_sql):
             rows = sorted(lane(c, queries, 5).collect(), key=lambda r: (r.qid, r.rank))
             assert {q: [r.id for r in rows if r.qid == q] for q in want} == want
@@ -43,26 +45,27 @@ def test_batch_lanes_agree(spark, monkeypatch):
 
 def test_approximate_recall(spark):
     v, c = clustered(spark)
-    ivf, pq = search.build_ivf(c), search.build_pq(c, 4, 64)
+    ivf, pq = ann.build_ivf(c), ann.build_pq(c, 4, 64)
+    graph = ann.build_graph(c)
     rng = np.random.default_rng(99)
     hits = {"ivf": 0, "hnsw": 0, "pq": 0}
     for i in rng.choice(500, 8, replace=False):
         q = v[i].astype(float) + 0.05 * rng.normal(size=32)
         want = set(truth(v, q, 10))
-        for name, rows in (("ivf", search.ann_rerank(ivf, q, 10)[0]), ("hnsw", search.hnsw(ivf, q, 10)[0]), ("pq", search.pq_rerank(pq, q, 10))):
+        for name, rows in (("ivf", ann.ann_rerank(ivf, q, 10)[0]), ("hnsw", ann.hnsw(graph, q, 10)[0]), ("pq", ann.pq_rerank(pq, q, 10))):
             hits[name] += len(want & {r.id for r in rows.collect()})
     assert all(h >= 0.9 * 80 for h in hits.values()), hits
-    rows, info = search.hnsw(ivf, v[0].astype(float), 10, {"bucket": 5})
+    rows, info = ann.hnsw(graph, v[0].astype(float), 10, {"bucket": 5})
     assert all(r.bucket == 5 for r in rows.collect()) and rows.count() == 10 and info["attempts"] <= 2
-    rows, info = search.ann_rerank(ivf, v[0].astype(float), 10, {"bucket": 99})
+    rows, info = ann.ann_rerank(ivf, v[0].astype(float), 10, {"bucket": 99})
     assert info["fallback"] and rows.count() == 0
     assert ivf.rows.count() == 500 and ivf.summary["lists"] == 22
 
 
 def test_over_fetch_and_list_count():
-    assert search.over_fetch(10, 24, 10000, 1250) == 160
-    assert search.over_fetch(10, 24, 100, 0) == 0 and search.over_fetch(10, 24, 15, 15) == 15
-    assert [search.list_count(n) for n in (1, 3, 100, 10**6)] == [1, 3, 10, 64]
+    assert ann.over_fetch(10, 24, 10000, 1250) == 160
+    assert ann.over_fetch(10, 24, 100, 0) == 0 and ann.over_fetch(10, 24, 15, 15) == 15
+    assert [ann.list_count(n) for n in (1, 3, 100, 10**6)] == [1, 3, 10, 1000]
     assert search.merge_top([[(0.9, 1), (0.1, 2)], [(0.9, 0)]], 2) == [(0.9, 0), (0.9, 1)]
 
 
@@ -114,3 +117,54 @@ def test_recall_is_of_every_tenth_vector(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "recall", lambda found, truth, k: (found, truth))
     for ranking in vector_queries.vector_recall(spark, str(tmp_path)):
         assert sorted(r.qid for r in ranking.select("qid").distinct().collect()) == list(range(0, 2300, 10))
+
+
+def overlap(found, want):
+    return len({r.id for r in found.collect()} & set(want))
+
+
+@pytest.mark.parametrize("shard", [20000, 700])
+def test_recall_on_unclustered_vectors(spark, monkeypatch, shard):
+    monkeypatch.setattr(ann, "SHARD_ROWS", shard)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(3000, 24)).astype(np.float32)
+    c = spark.createDataFrame([(i, x.tolist(), i % 8) for i, x in enumerate(v)], "id long, vector array<float>, bucket int").repartition(4, "id").cache()
+    q = c.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
+    want = search.batch(c, q, 10)
+    ivf, graph, pq = ann.build_ivf(c), ann.build_graph(c), ann.build_pq(c)
+    assert search.recall(ann.ivf_batch(ivf, q, 10), want, 10).first().recall_at_k >= 0.9
+    assert search.recall(ann.hnsw_batch(graph, q, 10), want, 10).first().recall_at_k >= 0.9
+    own = range(7, 3000, 600)
+    for found in (lambda x: ann.ann_rerank(ivf, x, 10)[0], lambda x: ann.hnsw(graph, x, 10)[0], lambda x: ann.pq_rerank(pq, x, 10)):
+        assert sum(overlap(found(v[i].astype(float)), truth(v, v[i].astype(float), 10)) for i in own) >= 0.85 * 10 * len(own)
+
+
+def test_index_tables_are_stored_by_list(spark):
+    _, c = clustered(spark)
+    index = ann.build_ivf(c)
+    plan = index.rows.where("list_id = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan
+    assert index.rows.count() == 500 and 1 <= index.probes <= len(index.centroids)
+
+
+def test_empty_and_null_collections(spark):
+    schema = "id long, vector array<float>, bucket int"
+    for rows in ([], [(1, None, 0)]):
+        c = spark.createDataFrame(rows, schema)
+        assert ann.build_graph(c).n == 0 and ann.hnsw(ann.build_graph(c), [1.0, 0.0], 3)[0].collect() == []
+        q = spark.createDataFrame([(1, [1.0, 2.0])], "qid long, qv array<double>")
+        assert search.batch(c, q, 3).collect() == []
+    one = spark.createDataFrame([(5, [1.0, 2.0], 0), (6, None, 0)], schema)
+    assert [r.id for r in ann.ann_rerank(ann.build_ivf(one), [1.0, 0.0], 3)[0].collect()] == [5]
+    assert [r.id for r in ann.hnsw(ann.build_graph(one), [1.0, 0.0], 3)[0].collect()] == [5]
+
+
+def test_graph_links_are_mutual_and_bounded():
+    rng = np.random.default_rng(3)
+    v = ann.unit(rng.normal(size=(400, 16)))
+    links = ann.layer_links(v, 8, 16, 32, "cosine")
+    assert links.shape == (400, 16) and (links < 400).all() and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in links)
+    assert not (links == np.arange(400)[:, None]).any() and (links >= 0).sum(1).min() >= 1
+    g = ann.Graph.build(np.arange(400), v, 8, 32, "cosine")
+    hits = sum(len({i for _, i in g.search(x.astype(np.float32), 40)[:10]} & set(truth(v, x, 10))) for x in v[::20])
+    assert hits >= 0.95 * 200

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions import udfs
-from tidefold.operators import collections, search, temporal
+from tidefold.operators import ann, collections, search, temporal
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,19 +193,19 @@ def vector_diagnostics(spark, d):
 
 @query()
 def vector_ivf(spark, d):
-    index = search.build_ivf(collection(spark, d))
-    return rounded(search.ann_rerank(index, the_vector(spark, d), 10)[0]).select("id", "score")
+    index = ann.build_ivf(collection(spark, d))
+    return rounded(ann.ann_rerank(index, the_vector(spark, d), 10)[0]).select("id", "score")
 
 
 @query()
 def vector_hnsw(spark, d):
-    index = search.build_ivf(collection(spark, d))
-    return rounded(search.hnsw(index, the_vector(spark, d), 10, {"bucket": 3})[0]).select("id", "score")
+    index = ann.build_graph(collection(spark, d))
+    return rounded(ann.hnsw(index, the_vector(spark, d), 10, {"bucket": 3})[0]).select("id", "score")
 
 
 @query()
 def vector_pq(spark, d):
-    return rounded(search.pq_rerank(search.build_pq(collection(spark, d)), the_vector(spark, d), 10)).select("id", "score")
+    return rounded(ann.pq_rerank(ann.build_pq(collection(spark, d)), the_vector(spark, d), 10)).select("id", "score")
 
 
 @query()
@@ -224,18 +222,11 @@ def vector_compress(spark, d):
 def vector_recall(spark, d):
     """Recall of inverted lists for every tenth vector; the exact ranking is the truth."""
     c, q = collection(spark, d), tenth(spark, d)
-    index = search.build_ivf(c)
-    centroids, probes = index.centroids, min(len(index.centroids), 5)
+    return search.recall(ann.ivf_batch(ann.build_ivf(c), q, 10), search.batch(c, q, 10), 10)
 
-    def assign(frames):
-        for pdf in frames:
-            if len(pdf):
-                lists = np.argsort(-(np.array(pdf["qv"].tolist(), np.float64) @ centroids.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), probes), "list_id": lists.ravel().astype(np.int32)})
 
-    near = index.rows.join(q.mapInPandas(assign, "qid long, list_id int").join(q, "qid"), "list_id")
-    from tidefold.functions.vector import cosine
-
-    found = search.ranked(near.select("qid", "id", cosine(F.col("vector"), F.col("qv")).alias("score")), 10)
-    truth = search.batch(c, q, 10)
-    return search.recall(found, truth, 10)
+@query()
+def vector_recall_graph(spark, d):
+    """The same of layered graphs."""
+    c, q = collection(spark, d), tenth(spark, d)
+    return search.recall(ann.hnsw_batch(ann.build_graph(c), q, 10), search.batch(c, q, 10), 10)

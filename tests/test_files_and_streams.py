@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.text import jaccard, slugify, tokens, valid_key
 from tidefold.operators import oplog, state
-from tidefold.sources import files
+from tidefold.sources import files, frames, shared
 from tidefold.streaming import online
 
 DATA = "/root/testdata/sf0.001"
@@ -61,6 +61,68 @@ def test_streaming_keys_equal_batch(spark):
     assert {r.key: (r.value, r.last_lsn) for r in online.kv_view(spark, f"{DATA}/events.parquet").collect()} == want
 
 
+RECORDS = [{"op": "put", "key": "k", "value": "x" * 200, "ts": 1.5}, {"op": "delete", "key": "k", "ts": 2.0}, {"op": "incr", "key": "é", "amount": 3, "ts": 3.0}]
+
+
+@pytest.mark.parametrize("codec", ["gzip", "zstd"])
+def test_frames_round_trip(spark, tmp_path, codec):
+    (tmp_path / "0001.log").write_bytes(frames.packed(RECORDS, codec=codec) + frames.packed(RECORDS[1:], batch=True))
+    (tmp_path / "0002.log").write_bytes(b"")
+    rows = frames.read_frames(spark, str(tmp_path)).orderBy("path", "number").collect()
+    assert [(r.op, r.key, r.value, r.amount, r.ts) for r in rows] == [(x["op"], x["key"], x.get("value"), x.get("amount"), x["ts"]) for x in RECORDS + RECORDS[1:]]
+    assert [r.number for r in rows] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 10])
+def test_cut_off_frames_are_errors(spark, tmp_path, cut):
+    data = frames.packed(RECORDS)
+    with pytest.raises(frames.TruncatedFrame):
+        list(frames.frames(data[:-cut]))
+    (tmp_path / "a.log").write_bytes(data[:-cut])
+    with pytest.raises(Exception, match="cut off"):
+        frames.read_frames(spark, str(tmp_path)).collect()
+    rows = frames.read_frames(spark, str(tmp_path), salvage=True).orderBy("number").collect()
+    assert [r.op for r in rows] == ["put", "delete", None] and "cut off" in rows[-1].error
+    with pytest.raises(ValueError):
+        frames.unpacked(b"\x07?")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_a_batch_that_is_run_again_is_not_counted_twice(spark):
+    e = online.events(spark, f"{DATA}/events.parquet").select("event_id", "user_id")
+    where, first, again = shared.new_folder(spark, "t"), shared.new_folder(spark, "t"), shared.new_folder(spark, "t")
+    for state_folder in (first, again):  # a lost checkpoint: batch 0 runs twice
+        online.start(e, "append", where, state_folder).awaitTermination()
+    n = spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert spark.read.parquet(where).count() == n
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    schema, src, where, state_folder = "i int, ts timestamp", tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/state"
+    batches = [[(1, 0), (2, 5)], [(3, 100)], [(4, 7), (5, 101)], [(6, 300)]]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame([(i, s) for i, s in rows], "i int, s long").select("i", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        online.start(online.closed_windows(stream, "10 seconds", "20 seconds"), "append", where, state_folder).awaitTermination()
+    got = {r.start: r.n for r in spark.read.parquet(where).collect()}
+    assert got == {0: 2, 100: 2}  # the row at 7 came after the watermark had passed it
+
+
+def test_queue_view_equals_batch(spark):
+    from tidefold.operators import queues
+
+    log = oplog.from_events(spark.read.parquet(f"{DATA}/events.parquet"))
+    assert {r.queue: r.depth for r in online.queue_view(spark, f"{DATA}/events.parquet").collect()} == {r.queue: r.depth for r in queues.depths(log).collect()}
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    kept = shared.keep(spark.range(5).select(F.col("id"), (F.col("id") % 2).alias("b")), ["b"])
+    assert kept.count() == 5 and shared.release(spark) >= 1
+    assert shared.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("The cat, CAT_9!",), ("",), ("a b",)], "t string")
     assert [sorted(r[0]) for r in df.select(tokens(F.col("t"))).collect()] == [sorted({"the", "cat", "cat_9", "at_", "t_9"}), [], ["a", "b"]]

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from tidefold.operators import limits, oplog, queues, state, streams, structures
+from tidefold.operators import limits, oplog, queues, reports, scans, state, streams, structures
 
 
 def random_log(spark, seed, n=600, ops=("put", "incr", "delete", "enqueue", "dequeue", "append_event")):
@@ -57,8 +57,9 @@ def test_counters_that_expire(spark):
     assert {r.lsn: r.counter for r in state.ttl_counters(log).collect()} == want
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_queues_and_streams(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(3, 5_000_000), (4, 5_000_000), (3, 10)])
+def test_queues_and_streams(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(scans, "HOT_ROWS", hot)
     rows, log = random_log(spark, seed)
     q, out, depth, seq, events = {"q0": deque(), "q1": deque()}, {}, {}, {}, {}
     for lsn, _, op, _, queue, stream, _, value, _ in rows:
@@ -97,14 +98,14 @@ def test_flush_restarts_sequences(spark):
 def test_lists(spark):
     rng, rows, want = random.Random(8), [], {}
     for i in range(400):
-        key, op = f"l{rng.randrange(4)}", rng.choice(["lpush", "rpush", "lpop", "rpop"])
+        key, op = f"l{rng.randrange(4)}", rng.choice(["lpush", "rpush", "lpop", "rpop", "lpushx", "rpushx"])
         rows.append((i, key, op, str(rng.randrange(5))))
         d = want.setdefault(key, deque())
-        if op == "lpush":
+        if op == "lpush" or (op == "lpushx" and d):
             d.appendleft(rows[-1][3])
-        elif op == "rpush":
+        elif op == "rpush" or (op == "rpushx" and d):
             d.append(rows[-1][3])
-        elif d:
+        elif op in ("lpop", "rpop") and d:
             d.popleft() if op == "lpop" else d.pop()
     log = spark.createDataFrame(rows, "lsn long, key string, op string, value string")
     assert {r.key: r["items"] for r in structures.folded(log).collect()} == {k: list(v) for k, v in want.items()}
@@ -157,3 +158,56 @@ def test_rename_missing_key(spark):
 def test_glob(spark, pattern, key, hit):
     kv = spark.createDataFrame([(key,)], "key string")
     assert (state.keys_matching(kv, pattern).count() == 1) == hit
+
+
+def test_mset_if_absent(spark):
+    rng = random.Random(9)
+    rows = [(i, {f"k{x}": "v" for x in rng.sample(range(60), rng.randint(1, 3))}) for i in range(150)]
+    held, want = set(), {}
+    for i, m in rows:
+        want[i] = int(not held & set(m))
+        if want[i]:
+            held |= set(m)
+    got = state.mset_if_absent(spark.createDataFrame(rows, "lsn long, mapping map<string,string>"))
+    assert {r.lsn: r.done for r in got.collect()} == want
+
+
+def test_getdel_scan_and_milliseconds(spark):
+    log = spark.createDataFrame([(1, "put", "a", "1"), (2, "delete", "a", None), (3, "delete", "a", None), (4, "put", "a", None), (5, "delete", "a", None)], "lsn long, op string, key string, value string")
+    assert {r.lsn: r.old for r in state.getdel(log).collect()} == {2: "1", 3: None, 5: None}
+    kv = spark.createDataFrame([(f"k{i}", str(i), 10.25 if i % 2 else None) for i in range(8)], "key string, value string, expires_at double")
+    first = [r.key for r in state.scan_page(kv, None, "k[1-6]", 4).collect()]
+    assert first == ["k1", "k2", "k3", "k4"] and [r.key for r in state.scan_page(kv, first[-1], "k[1-6]", 4).collect()] == ["k5", "k6"]
+    with pytest.raises(ValueError):
+        state.scan_page(kv, count=0)
+    keys = spark.createDataFrame([("k0",), ("k1",), ("x",)], "key string")
+    assert {r.key: r.ttl for r in state.ttl_millis(kv, 10.0, keys).collect()} == {"k0": -1, "k1": 250, "x": -2}
+
+
+@pytest.mark.parametrize("hot", [5_000_000, 3])
+def test_order_statistics(spark, hot, monkeypatch):
+    import statistics
+
+    monkeypatch.setattr(scans, "HOT_ROWS", hot)
+    rng = random.Random(4)
+    groups = {"a": [rng.randrange(9) / 2 for _ in range(41)], "b": [rng.random() for _ in range(40)], "c": [3.5]}
+    rows = spark.createDataFrame([(g, v) for g, x in groups.items() for v in [*x, None]], "g string, v double")
+    got = {r.g: r for r in reports.series_summary(rows, ["g"], "v").collect()}
+    cut = {r.g: r for r in reports.exclusive_quantiles(rows, ["g"], "v", (95, 99)).collect()}
+    for g, x in groups.items():
+        s = sorted(x)
+        at = lambda p: s[round(p / 100 * (len(s) - 1))]  # noqa: B023, E731
+        assert (got[g].n, got[g].min, got[g].p50, got[g].p95, got[g].p99, got[g].max) == (len(s), s[0], at(50), at(95), at(99), s[-1])
+        if len(s) > 1:
+            assert cut[g].p95 == pytest.approx(statistics.quantiles(s, n=20)[18]) and cut[g].p99 == pytest.approx(statistics.quantiles(s, n=100)[98])
+        else:
+            assert cut[g].p95 == cut[g].p99 == 3.5
+
+
+def test_access_codes(spark):
+    from tidefold.operators import crm
+
+    rows = [(1, 7, 0.0, "verify", "x", None), (2, 7, 1.0, "set", "x", 10.0), (3, 7, 2.0, "verify", "y", None), (4, 7, 10.0, "verify", "x", None), (5, 7, 10.0, "verify", "x", None),
+            (6, 7, 11.0, "set", "z", 12.0), (7, 7, 12.5, "verify", "z", None), (8, 8, 11.0, "verify", "z", None), (9, 7, 13.0, "set", "z", 20.0), (10, 7, 14.0, "verify", "z", None)]
+    log = spark.createDataFrame(rows, "lsn long, customer_id long, ts double, op string, code string, expires_at double")
+    assert {r.lsn for r in crm.access_codes(log).where("ok").collect()} == {4, 10}

@@ -26,6 +26,37 @@ def registry_from(orders: DataFrame) -> DataFrame:
     return rows.select("customer_id", F.concat(F.lit("Owner"), F.col("customer_id").cast("string"), F.lit("@Example.com")).alias("email"), F.element_at(F.array(*map(F.lit, PLANS)), (F.col("customer_id") % 3 + 1).cast("int")).alias("plan"), "api_keys", "updated_at")
 
 
+def current_customers(log: DataFrame) -> DataFrame:
+    """customer_id, plan, status, created, updated, versions: customers after creates and updates (lsn, customer_id, plan,
+    status), each of which replaces the whole record."""
+    last = log.groupBy("customer_id").agg(F.max_by(F.struct("plan", "status"), "lsn").alias("s"), F.min("lsn").alias("created"), F.max("lsn").alias("updated"), F.count(F.lit(1)).alias("versions"))
+    return last.select("customer_id", "s.plan", "s.status", "created", "updated", "versions")
+
+
+def list_all(log: DataFrame, customers: DataFrame, limit: int) -> DataFrame:
+    """customer_id, created: the first `limit` customers in order of creation, without those that `customers` lacks."""
+    index = log.groupBy("customer_id").agg(F.min("lsn").alias("created"))
+    return index.join(customers.select("customer_id"), "customer_id", "left_semi").orderBy("created").limit(limit)
+
+
+def access_codes(log: DataFrame) -> DataFrame:
+    """lsn, customer_id, ok: what each check of an access code answers. `log`: (lsn, customer_id, ts, op set/verify,
+    code, expires_at). A code is good once, and until it has expired, which it has after its time, not at it; codes are
+    compared by their hashes, and a new code replaces the old one."""
+    order = Window.partitionBy("customer_id").orderBy("lsn")
+    given = F.when(F.col("op") == "set", F.struct(F.col("lsn").alias("at"), F.sha2(F.col("code").cast("binary"), 256).alias("hash"), "expires_at"))
+    rows = log.withColumn("code_set", F.last(given, ignorenulls=True).over(order)).where("op = 'verify'")
+    fits = (F.col("code_set.hash") == F.sha2(F.col("code").cast("binary"), 256)) & (F.col("ts") <= F.col("code_set.expires_at"))
+    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    used = Window.partitionBy("customer_id", "code_set.at").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("spent", F.coalesce(F.max("fits").over(used), F.lit(False))).select("lsn", "customer_id", (F.col("fits") & ~F.col("spent")).alias("ok"))
+
+
+def artifact_issues(issues: DataFrame) -> DataFrame:
+    """customer_id, artifact, n, first, last of issues (lsn, customer_id, artifact)."""
+    return issues.groupBy("customer_id", "artifact").agg(F.count(F.lit(1)).alias("n"), F.min("lsn").alias("first"), F.max("lsn").alias("last"))
+
+
 def by_email(customers: DataFrame, email: str) -> DataFrame:
     """The customer that last claimed an e-mail address, letters' case apart."""
     owner = customers.where(F.lower("email") == email.lower()).agg(F.max_by("customer_id", "updated_at").alias("customer_id"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions.text import fixed_window
+from tidefold.operators.scans import folded
 
 
 def fixed(calls: DataFrame, width: int, most: int) -> DataFrame:
@@ -17,20 +20,13 @@ def fixed(calls: DataFrame, width: int, most: int) -> DataFrame:
 
 def sliding(calls: DataFrame, width: float, most: int) -> DataFrame:
     """id, key, allowed. Rejected calls don't count, so each key's calls are folded in order."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        held: deque = deque()
-        out = []
-        for r in pdf.sort_values(["ts", "id"]).itertuples():
-            while held and held[0] <= r.ts - width:
-                held.popleft()
-            ok = len(held) < most
-            if ok:
-                held.append(r.ts)
-            out.append((r.id, r.key, ok))
-        return pd.DataFrame(out, columns=["id", "key", "allowed"])
-
-    return calls.select("id", "key", "ts").groupBy("key").applyInPandas(fold, "id long, key string, allowed boolean")
+
+    def step(held: deque, r: dict):
+        while held and held[0] <= r["ts"] - width:
+            held.popleft()
+        ok = len(held) < most
+        if ok:
+            held.append(r["ts"])
+        return r["id"], r["key"], ok
+
+    return folded(calls.select("id", "key", "ts"), "key", ["ts", "id"], deque, step, "id long, key string, allowed boolean")

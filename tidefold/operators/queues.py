@@ -3,28 +3,30 @@ dequeues. So depths, and which enqueue each dequeue takes, follow from windows a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def order():
-    return Window.partitionBy("queue").orderBy("lsn")
+from tidefold.operators.scans import hottest, running
 
 
 def walk(log: DataFrame) -> DataFrame:
     """lsn, queue, op, value, depth after each command, enq_n and deq_n: enqueues and successful dequeues so far."""
     rows = log.where("op IN ('enqueue', 'dequeue')").select("lsn", "queue", "op", "value")
-    rows = rows.withColumn("s", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(-1)).over(order()))
-    rows = rows.withColumn("enq_n", F.sum(F.when(F.col("op") == "enqueue", 1).otherwise(0)).over(order()))
-    rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(order())))
-    return rows.withColumn("deq_n", F.col("enq_n") - F.col("depth")).drop("s")
+    enqueue, most = F.col("op") == "enqueue", hottest(rows, ["queue"])
+    rows = running(rows, ["queue"], "lsn", {"s": F.when(enqueue, 1).otherwise(-1), "enq_n": F.when(enqueue, 1).otherwise(0)}, most=most)
+    rows = running(rows, ["queue"], "lsn", {}, {"low": F.col("s")}, most=most)
+    rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), "low"))
+    return rows.withColumn("deq_n", F.col("enq_n") - F.col("depth")).drop("s", "low")
 
 
 def dequeues(log: DataFrame) -> DataFrame:
     """lsn, queue, value: what each dequeue returns, null from an empty queue."""
-    w = walk(log).withColumn("took", F.col("deq_n") > F.coalesce(F.lag("deq_n").over(order()), F.lit(0)))
+    # the first command that has taken so many is the one that took the last of them
+    w = walk(log)
+    took = w.where("op = 'dequeue' AND deq_n > 0").groupBy("queue", F.col("deq_n").alias("n")).agg(F.min("lsn").alias("lsn"))
     given = w.where("op = 'enqueue'").select("queue", F.col("enq_n").alias("n"), F.col("value").alias("given"))
-    taken = w.where("op = 'dequeue'").select("lsn", "queue", F.when(F.col("took"), F.col("deq_n")).alias("n"))
-    return taken.join(given, ["queue", "n"], "left").select("lsn", "queue", F.col("given").alias("value"))
+    filled = took.join(given, ["queue", "n"]).select("lsn", "queue", "given")
+    return log.where("op = 'dequeue'").select("lsn", "queue").join(filled, ["lsn", "queue"], "left").select("lsn", "queue", F.col("given").alias("value"))
 
 
 def depths(log: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.functions import udfs
 from tidefold.functions.text import jaccard, savings_percent, tokens
+from tidefold.functions.udfs import CODECS, decompress
+from tidefold.operators.scans import running
 
 
 def expanded_corpus(access: DataFrame, usage: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -39,8 +41,8 @@ def codec_report(blobs: DataFrame, codecs: list[str]) -> DataFrame:
             for name, raw in zip(pdf["name"], pdf["content"]):
                 raw = b"" if raw is None else bytes(raw)
                 for c in codecs:
-                    out = udfs.CODECS[c](raw)
-                    rows.append((name, c, len(raw), len(out), udfs.decompress(c, out) == raw))
+                    out = CODECS[c](raw)
+                    rows.append((name, c, len(raw), len(out), decompress(c, out) == raw))
             yield pd.DataFrame(rows, columns=["name", "codec", "in_bytes", "out_bytes", "lossless"])
 
     rows = blobs.select("name", "content").mapInPandas(work, "name string, codec string, in_bytes long, out_bytes long, lossless boolean")
@@ -65,51 +67,74 @@ def best_mode(sizes: DataFrame) -> DataFrame:
 
 
 def memory_matches(turns: DataFrame, bank_below: int, k: int = 3, threshold: float = 0.7) -> DataFrame:
-    """conv_id, turn, rank, memory, score: for each user turn (conv_id, turn, text) of later conversations the k most
+    """conv_id, turn, rank, memory_conv, memory_turn, score: for each user turn (conv_id, turn, text) of later conversations the k most
     alike turns of earlier ones with a token likeness of at least `threshold`.
 
     Candidates share a token; a likeness of t bounds the sizes, and of a turn's tokens, rarest first, one of the first
     (1 - t) n + 1 must be shared, so only those are joined on.
     """
-    t = turns.withColumn("tok", tokens(F.col("text"))).withColumn("id", F.col("conv_id") * 100000 + F.col("turn")).where(F.size("tok") > 0)
+    t = turns.withColumn("tok", tokens(F.col("text"))).withColumn("id", F.struct("conv_id", "turn")).where(F.size("tok") > 0)
     rows = t.select("id", F.explode("tok").alias("w"))
     df = rows.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     order = rows.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     keep = F.floor(F.size("o") * (1 - threshold) + 1e-9).cast("int") + 1
     keys = order.select("id", F.explode(F.slice(F.col("o.w"), F.lit(1), keep)).alias("w"))
-    test = keys.where(F.col("id") >= bank_below * 100000).withColumnRenamed("id", "a")
-    bank = keys.where(F.col("id") < bank_below * 100000).withColumnRenamed("id", "b")
+    test = keys.where(F.col("id.conv_id") >= bank_below).withColumnRenamed("id", "a")
+    bank = keys.where(F.col("id.conv_id") < bank_below).withColumnRenamed("id", "b")
     pairs = test.join(bank, "w").select("a", "b").distinct()
     full = pairs.join(t.select(F.col("id").alias("a"), F.col("tok").alias("x"), "conv_id", "turn"), "a").join(t.select(F.col("id").alias("b"), F.col("tok").alias("y")), "b")
     scored = full.select("conv_id", "turn", F.col("b").alias("memory"), jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("score").desc(), "memory"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("conv_id", "turn", "rank", F.col("memory.conv_id").alias("memory_conv"), F.col("memory.turn").alias("memory_turn"), "score")
 
 
 # statistics
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Of a sorted array: the element at p percent of the way, halves to even; 0 of an empty one."""
-    n = F.size(values)
-    at = F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p / 100.0) * (n - 1), 0).cast("int")))
-    return F.when(n == 0, 0.0).otherwise(F.try_element_at(values, at + 1))
+def order_statistics(rows: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The group, n, min, max and, by name, the value at a place (from 1) of the sorted values that is a function of n.
 
+    Values are counted, and counts summed in order: no group is brought together in one row or, beyond
+    scans.HOT_ROWS distinct values, in one task. Nulls don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(counts, group, "_v", {"_u": F.col("_c")})
+    n = F.col("_n")
+    totals = counts.select(*group, "_v", "_c").groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.sum("_c").alias("_n"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    at = lambda f: F.min(F.when(F.col("_u") >= f(n), F.col("_v")))
+    return upto.join(totals, on).groupBy(*group, F.col("_n").alias("n")).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), *[at(f).alias(name) for name, f in places.items()])
+
+
+def nearest_place(p: float) -> Callable[[Column], Column]:
+    """The place at p percent of the way, halves to even."""
+    return lambda n: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p / 100.0) * (n - 1), 0).cast("long"))) + 1
 
-def exclusive_quantile(values: Column, p: float) -> Column:
-    """Of a sorted array: linear interpolation at p (n + 1), kept within 1 and n - 1."""
-    n = F.size(values)
-    pos = F.lit(p) * (n + 1)
-    low = F.greatest(F.lit(1), F.least(n - 1, F.floor(pos).cast("int")))
-    a, b = F.try_element_at(values, low), F.try_element_at(values, low + 1)
-    return F.when(n < 2, F.try_element_at(values, F.lit(1))).otherwise(a + (pos - low) * (b - a))
+
+def exclusive_quantiles(rows: DataFrame, group: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """pN by linear interpolation at N / 100 of n + 1, kept within 1 and n - 1; a single value is each of them."""
+    position = lambda p: lambda n: F.lit(p / 100) * (n + 1)
+    low = lambda p: lambda n: F.greatest(F.lit(1), F.least(n - 1, F.floor(position(p)(n))))
+    high = lambda p: lambda n: F.least(n, low(p)(n) + 1)
+    s = order_statistics(rows, group, value, {f"_a{p}": low(p) for p in percents} | {f"_b{p}": high(p) for p in percents})
+    n = F.col("n")
+    return s.select(*group, *[F.when(n < 2, F.col("min")).otherwise(F.col(f"_a{p}") + (position(p)(n) - low(p)(n)) * (F.col(f"_b{p}") - F.col(f"_a{p}"))).alias(f"p{p}") for p in percents])
 
 
 def series_summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, min, p50, p95, p99, max by nearest rank."""
-    s = rows.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    at = lambda p: nearest_rank(F.col("v"), p)
-    return s.select(*group, F.size("v").cast("long").alias("n"), F.array_min("v").alias("min"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.array_max("v").alias("max"))
+    s = order_statistics(rows, group, value, {f"p{p}": nearest_place(p) for p in (50, 95, 99)})
+    return s.select(*group, "n", "min", "p50", "p95", "p99", "max")
+
+
+def status_rollup(checks: DataFrame) -> DataFrame:
+    """report, n, passed, failed, status of (report, check, ok), and a row of totals with a null report. A report without
+    a failed check is complete; one without any passed check is missing."""
+    r = checks.rollup("report").agg(F.count("ok").alias("n"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+    return r.withColumn("status", F.when(F.col("failed") == 0, "complete").when(F.col("passed") == 0, "missing").otherwise("partial"))
 
 
 def throughput(rows: DataFrame, group: list[str]) -> DataFrame:

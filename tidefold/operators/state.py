@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.operators.oplog import live
+from tidefold.operators.scans import folded
+from tidefold.sources.shared import keep
+
 
 def by_key():
     return Window.partitionBy("key").orderBy("lsn")
@@ -157,24 +160,64 @@ def strings_after_append(log: DataFrame) -> DataFrame:
 def ttl_counters(log: DataFrame) -> DataFrame:
     """key, lsn, counter: increments with expiry between commands. What an increment finds depends on the running
     expiry, so each key's rows are folded in order; an increment without expiry keeps the one there is."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, value, expiry = [], None, None
-        for r in pdf.sort_values("lsn").itertuples():
-            if expiry is not None and expiry <= r.ts:
-                value = expiry = None
-            given = None if pd.isna(r.expires_at) else r.expires_at
-            if r.op == "incr":
-                value = (value or 0) + r.amount
-                expiry = given if given is not None else expiry
-                out.append((r.key, r.lsn, value))
-            elif r.op == "delete":
-                value = expiry = None
-        return pd.DataFrame(out, columns=["key", "lsn", "counter"])
+
+    def step(state: list, r: dict):
+        if state[1] is not None and state[1] <= r["ts"]:
+            state[:] = [None, None]
+        if r["op"] == "delete":
+            state[:] = [None, None]
+            return None
+        state[:] = [(state[0] or 0) + r["amount"], r["expires_at"] if r["expires_at"] is not None else state[1]]
+        return r["key"], r["lsn"], state[0]
 
     rows = log.where("op IN ('incr', 'delete')").select("key", "lsn", "ts", "op", "amount", "expires_at")
-    return rows.groupBy("key").applyInPandas(fold, "key string, lsn long, counter long")
+    return folded(rows, "key", ["lsn"], lambda: [None, None], step, "key string, lsn long, counter long")
+
+
+def getdel(log: DataFrame) -> DataFrame:
+    """lsn, key, old: what each delete, as GETDEL, returns; null where it finds nothing."""
+    rows = log.where("op IN ('put', 'delete')").withColumn("p", F.lag(F.struct("op", "value")).over(by_key()))
+    return rows.where("op = 'delete'").select("lsn", "key", F.when(F.col("p.op") == "put", F.col("p.value")).alias("old"))
+
+
+def mset_if_absent(commands: DataFrame, rounds: int = 1000) -> DataFrame:
+    """lsn, done of MSETNX commands (lsn, mapping): 1 where none of a command's keys existed, and so all were set.
+
+    In each round the commands that come first for all their keys are done, and all others that share a key with one of
+    them are not; rounds are few, and each is joins and aggregations."""
+    rows = keep(commands.select("lsn", F.explode(F.map_keys("mapping")).alias("key")).distinct())
+    left, done = rows, commands.select("lsn").limit(0)
+    for _ in range(rounds):
+        if not left.limit(1).count():
+            break
+        first = left.groupBy("key").agg(F.min("lsn").alias("first"))
+        chosen = left.join(first, "key").groupBy("lsn").agg(F.bool_and(F.col("lsn") == F.col("first")).alias("all")).where("all").select("lsn")
+        taken = keep(left.join(chosen, "lsn", "left_semi"))
+        done = done.unionAll(taken.select("lsn").distinct())
+        lost = left.join(taken.select("key").distinct(), "key", "left_semi").select("lsn").distinct()
+        left = keep(left.join(lost, "lsn", "left_anti"))
+    else:
+        raise RuntimeError(f"commands did not settle in {rounds} rounds")
+    return commands.select("lsn").join(done.withColumn("done", F.lit(1)), "lsn", "left").select("lsn", F.coalesce("done", F.lit(0)).alias("done"))
+
+
+def ttl_millis(state: DataFrame, as_of: float, keys: DataFrame) -> DataFrame:
+    """ttl_seconds() in milliseconds."""
+    return ttl(state, as_of, keys).select("key", F.coalesce(F.when(F.col("ttl") < 0, F.lit(-1)).otherwise(F.floor(F.col("ttl") * 1000)).cast("long"), F.lit(-2)).alias("ttl"))
+
+
+def expire_millis(state: DataFrame, changes: DataFrame, as_of: float) -> DataFrame:
+    """expire() with milliseconds: `changes` (key, millis)."""
+    return expire(state, changes.select("key", (F.col("millis") / 1000).alias("seconds")), as_of)
+
+
+def scan_page(rows: DataFrame, cursor: str | None = None, pattern: str = "*", count: int = 10, by: str = "key") -> DataFrame:
+    """A page of SCAN or HSCAN: the first `count` rows behind the cursor in order of `by` whose name matches. The last
+    row's name is the next cursor; a page that isn't full is the last."""
+    if count <= 0:
+        raise ValueError("count must be above 0")
+    behind = rows if cursor is None else rows.where(F.col(by) > cursor)
+    return behind.where(F.col(by).rlike(glob(pattern))).orderBy(by).limit(count)
 
 
 def stats(log: DataFrame, as_of: float) -> DataFrame:

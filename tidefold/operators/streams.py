@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.operators.scans import running
+
 
 def sequenced(log: DataFrame) -> DataFrame:
     """lsn, stream, seq, event. With an epoch column, sequences restart in each epoch."""
     keys = ["epoch", "stream"] if "epoch" in log.columns else ["stream"]
-    rows = log.where("op = 'append_event'")
-    seq = F.row_number().over(Window.partitionBy(*keys).orderBy("lsn")).cast("long")
-    return rows.select("lsn", *keys, seq.alias("seq"), F.col("value").alias("event"))
+    rows = log.where("op = 'append_event'").select("lsn", *keys, F.col("value").alias("event"))
+    rows = running(rows, keys, "lsn", {"seq": F.lit(1)})
+    return rows.select("lsn", *keys, F.col("seq").cast("long").alias("seq"), "event")
+
+
+def ids(sequence: DataFrame, log: DataFrame) -> DataFrame:
+    """lsn, stream, id: the id of each event, its milliseconds and its sequence number."""
+    ms = F.floor(F.col("ts") * 1000).cast("long").cast("string")
+    return sequence.join(log.select("lsn", "ts"), "lsn").select("lsn", "stream", F.concat_ws("-", ms, F.col("seq").cast("string")).alias("id"))
 
 
 def read_after(streams: DataFrame, stream: str, after_seq: int = 0, limit: int = 100) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.functions import udfs
 from tidefold.functions.text import epoch_seconds, sanitise, slugify
 from tidefold.operators import crm, limits, reports
 from tidefold.sources import files
@@ -52,6 +53,42 @@ def crm_by_email(spark, d):
     return crm.by_email(customers(spark, d), "Customer#000000042@Example.com").select("customer_id", "email", "plan", "segment")
 
 
+UPDATES = "WITH u AS (SELECT o_orderkey AS lsn, o_custkey AS customer_id, ['pro', 'team', 'enterprise'][o_orderkey % 3 + 1] AS plan, o_orderstatus AS status FROM orders)\n"
+
+
+def updates(spark, d):
+    plan = F.element_at(F.array(*map(F.lit, crm.PLANS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("lsn"), F.col("o_custkey").alias("customer_id"), plan.alias("plan"), F.col("o_orderstatus").alias("status"))
+
+
+@query(UPDATES + "SELECT customer_id, arg_max(plan, lsn) AS plan, arg_max(status, lsn) AS status, min(lsn) AS created, max(lsn) AS updated, count(*)::BIGINT AS versions FROM u GROUP BY customer_id")
+def crm_update(spark, d):
+    return crm.current_customers(updates(spark, d))
+
+
+@query(UPDATES + "SELECT customer_id, min(lsn) AS created FROM u WHERE customer_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) GROUP BY customer_id ORDER BY created LIMIT 100")
+def crm_list_all(spark, d):
+    return crm.list_all(updates(spark, d), t(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("customer_id")), 100)
+
+
+@query("""
+WITH log AS (SELECT event_id AS lsn, user_id AS customer_id, epoch_us(ts) / 1000000.0::DOUBLE AS ts, CASE event_type WHEN 'signup' THEN 'set' ELSE 'verify' END AS op, sha256((CASE event_type WHEN 'signup' THEN event_id ELSE event_id + user_id END % 3)::VARCHAR) AS hash FROM events WHERE event_type IN ('signup', 'click')),
+s AS (SELECT *, last_value(CASE WHEN op = 'set' THEN {'at': lsn, 'hash': hash, 'until': ts + 864000} END IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY lsn ROWS UNBOUNDED PRECEDING) AS c FROM log),
+f AS (SELECT *, coalesce(c.hash = hash AND ts <= c.until, false) AS fits FROM s WHERE op = 'verify')
+SELECT lsn, customer_id, fits AND NOT coalesce(bool_or(fits) OVER (PARTITION BY customer_id, c.at ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ok FROM f""")
+def crm_access_codes(spark, d):
+    e = t(spark, d, "events").where("event_type IN ('signup', 'click')")
+    ts, first = epoch_seconds(F.col("ts")), F.col("event_type") == "signup"
+    code = F.when(first, F.col("event_id")).otherwise(F.col("event_id") + F.col("user_id")) % 3
+    return crm.access_codes(e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("customer_id"), ts.alias("ts"), F.when(first, "set").otherwise("verify").alias("op"), code.cast("string").alias("code"), (ts + 864000).alias("expires_at")))
+
+
+@query("SELECT user_id AS customer_id, (event_id % 4)::BIGINT AS artifact, count(*)::BIGINT AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type = 'view' GROUP BY 1, 2")
+def crm_artifacts(spark, d):
+    e = t(spark, d, "events").where("event_type = 'view'")
+    return crm.artifact_issues(e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("customer_id"), (F.col("event_id") % 4).alias("artifact")))
+
+
 @query(CRM + "SELECT tag, count(*)::BIGINT AS n, string_agg(customer_id::VARCHAR, ',' ORDER BY customer_id) AS customers FROM (SELECT customer_id, unnest(tags) AS tag FROM c) GROUP BY tag")
 def crm_tags_index(spark, d):
     return crm.tag_index(customers(spark, d)).withColumn("customers", F.array_join(F.transform("customers", lambda x: x.cast("string")), ","))
@@ -197,6 +234,20 @@ def metadata_sanitise(spark, d):
     return clean.select("c_custkey", F.try_element_at("m", F.lit("name")).alias("name"), F.try_element_at("m", F.lit("segment")).alias("segment"))
 
 
+@query("SELECT source AS report, count(*)::BIGINT AS n, count(*) FILTER (WHERE doc_id % 5 <> 0)::BIGINT AS passed, count(*) FILTER (WHERE doc_id % 5 = 0)::BIGINT AS failed, CASE WHEN count(*) FILTER (WHERE doc_id % 5 = 0) = 0 THEN 'complete' WHEN count(*) FILTER (WHERE doc_id % 5 <> 0) = 0 THEN 'missing' ELSE 'partial' END AS status FROM documents GROUP BY ROLLUP (source)")
+def status_rollup(spark, d):
+    return reports.status_rollup(t(spark, d, "documents").select(F.col("source").alias("report"), F.col("lang").alias("check"), (F.col("doc_id") % 5 != 0).alias("ok")))
+
+
+@query()
+def codec_matrix(spark, d):
+    """Plain and byte-shuffled vectors under each codec: sizes, ratio, and whether the bytes come back."""
+    raw = t(spark, d, "embeddings").select(udfs.as_float_bytes("embedding").alias("raw"))
+    blobs = raw.select(F.explode(F.create_map(F.lit("plain"), "raw", F.lit("shuffled"), udfs.byte_shuffle("raw"))).alias("name", "content"))
+    rows = reports.codec_report(blobs, ["none", "zlib-6", "gzip-9"]).groupBy("name", "codec").agg(F.sum("in_bytes").alias("in_bytes"), F.sum("out_bytes").alias("out_bytes"), F.bool_and("lossless").alias("lossless"))
+    return rows.withColumn("ratio", F.round(F.col("in_bytes") / F.greatest("out_bytes", F.lit(1)), 4))
+
+
 @query()
 def codec_report(spark, d):
     blobs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
@@ -227,13 +278,13 @@ TOK = "list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[a-
 
 
 @query(f"""
-WITH k AS (SELECT conv_id, turn, conv_id * 100000 + turn AS id, {TOK} AS w FROM conversations WHERE role = 'user'),
-s AS (SELECT a.conv_id, a.turn, b.id AS memory, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS score FROM k a, k b WHERE a.conv_id >= 40 AND b.conv_id < 40 AND len(a.w) > 0 AND len(b.w) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, memory)::INTEGER AS rank FROM s WHERE score >= 0.2)
-SELECT conv_id, turn, rank, memory, round(score, 6) AS score FROM r WHERE rank <= 3""")
+WITH k AS (SELECT conv_id, turn, {TOK} AS w FROM conversations WHERE role = 'user'),
+s AS (SELECT a.conv_id, a.turn, b.conv_id AS memory_conv, b.turn AS memory_turn, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS score FROM k a, k b WHERE a.conv_id >= 40 AND b.conv_id < 40 AND len(a.w) > 0 AND len(b.w) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, memory_conv, memory_turn)::INTEGER AS rank FROM s WHERE score >= 0.2)
+SELECT conv_id, turn, rank, memory_conv, memory_turn, round(score, 6) AS score FROM r WHERE rank <= 3""")
 def memory_topk_threshold(spark, d):
     turns = t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    return reports.memory_matches(turns, 40, 3, 0.2).select("conv_id", "turn", "rank", "memory", F.round("score", 6).alias("score"))
+    return reports.memory_matches(turns, 40, 3, 0.2).withColumn("score", F.round("score", 6))
 
 
 STAT = "WITH v AS (SELECT l_returnflag AS g, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY 1)\n"
@@ -253,8 +304,8 @@ def stat_median(spark, d):
 l AS (SELECT *, greatest(1, least(n - 1, floor(a)::BIGINT)) AS i, greatest(1, least(n - 1, floor(b)::BIGINT)) AS j FROM p)
 SELECT g, round(v[i] + (a - i) * (v[i + 1] - v[i]), 6) AS p95, round(v[j] + (b - j) * (v[j + 1] - v[j]), 6) AS p99 FROM l""")
 def stat_quantiles_exclusive(spark, d):
-    s = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(F.sort_array(F.collect_list("l_extendedprice")).alias("v"))
-    return s.select("g", *[F.round(reports.exclusive_quantile(F.col("v"), p / 100), 6).alias(f"p{p}") for p in (95, 99)])
+    s = reports.exclusive_quantiles(t(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), "l_extendedprice"), ["g"], "l_extendedprice", (95, 99))
+    return s.select("g", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
 
 
 @query("SELECT l_linestatus, sum(l_linenumber)::BIGINT AS ops, round(sum(l_tax), 6) AS seconds, round(sum(l_linenumber) / sum(l_tax), 6) AS rate FROM lineitem GROUP BY 1")
@@ -303,11 +354,40 @@ def rate_limit_fixed(spark, d):
     return limits.fixed(calls(spark, d), 86400, 2)
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT event_id AS id, user_id::VARCHAR AS key, epoch_us(ts) / 1000000.0::DOUBLE AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (
+  SELECT DISTINCT NULL::BIGINT AS id, key, 0::BIGINT AS n, false AS allowed, []::DOUBLE[] AS held FROM c
+  UNION ALL
+  SELECT c.id, c.key, c.n, len(list_filter(f.held, lambda x: x > c.ts - 86400)) < 2,
+         CASE WHEN len(list_filter(f.held, lambda x: x > c.ts - 86400)) < 2 THEN list_append(list_filter(f.held, lambda x: x > c.ts - 86400), c.ts) ELSE list_filter(f.held, lambda x: x > c.ts - 86400) END
+  FROM f JOIN c ON f.key = c.key AND c.n = f.n + 1)
+SELECT id, key, allowed FROM f WHERE n > 0""")
 def rate_limit_sliding(spark, d):
     return limits.sliding(calls(spark, d), 86400.0, 2)
 
 
+@query("SELECT start, event_type, count(*)::BIGINT AS n FROM (SELECT unnest([epoch_us(ts) // 86400000000 * 86400, epoch_us(ts) // 86400000000 * 86400 - 86400])::BIGINT AS start, event_type FROM events) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    return online.sliding(spark, f"{d}/events.parquet", "2 days", "1 day")
+
+
+@query("""
+WITH log AS (SELECT event_id AS lsn, 'user:' || user_id AS key, CASE event_type WHEN 'signup' THEN 'put' ELSE 'delete' END AS op, props AS value FROM events WHERE event_type = 'signup' OR (event_type = 'error' AND event_id % 2 = 0)),
+l AS (SELECT key, arg_max({'op': op, 'value': value}, lsn) AS s, max(lsn) AS last_lsn FROM log GROUP BY key)
+SELECT key, s.value AS value, last_lsn FROM l WHERE s.op = 'put'""")
+def stream_kv_state(spark, d):
+    return online.kv_view(spark, f"{d}/events.parquet")
+
+
+@query("""
+WITH log AS (SELECT event_id AS lsn, 'q' || user_id % 8 AS queue, CASE event_type WHEN 'click' THEN 1 ELSE -1 END AS x FROM events WHERE event_type = 'click' OR (event_type = 'error' AND event_id % 2 = 1)),
+w AS (SELECT *, sum(x) OVER (PARTITION BY queue ORDER BY lsn) AS s FROM log), y AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY queue ORDER BY lsn)) AS depth FROM w)
+SELECT queue, arg_max(depth, lsn)::BIGINT AS depth, count(*) FILTER (WHERE x = 1)::BIGINT AS enqueued, (count(*) FILTER (WHERE x = 1) - arg_max(depth, lsn))::BIGINT AS taken, max(lsn) AS last_lsn FROM y GROUP BY queue""")
+def stream_queue_state(spark, d):
+    return online.queue_view(spark, f"{d}/events.parquet")
+
+
 @query("SELECT (epoch_us(date_trunc('day', ts)) // 1000000)::BIGINT AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     return online.tumbling(spark, f"{d}/events.parquet", "1 day")

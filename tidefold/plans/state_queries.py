@@ -28,11 +28,12 @@ ask AS (SELECT i AS pos, 'user:' || (i * 7) % 200 AS key FROM range(0, 60) t(i))
 """
 
 
-def query(sql: str | None = None, log: bool = True):
+def query(sql: str | None = None, log: bool = True, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = (LOG if log else "") + sql
+            text = (LOG if log else "") + sql
+            SQL[f.__name__] = text.replace("WITH", "WITH RECURSIVE", 1) if recursive else text
         return f
 
     return add
@@ -124,7 +125,15 @@ def kv_counter_state(spark, d):
     return state.counter_state(the_log(spark, d))
 
 
-@query()
+@query("""
+, r AS (SELECT key, lsn, ts, op, amount, expires_at, row_number() OVER (PARTITION BY key ORDER BY lsn) AS n FROM log WHERE op IN ('incr', 'delete')),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS lsn, NULL::VARCHAR AS op, NULL::BIGINT AS value, NULL::DOUBLE AS expiry FROM r
+  UNION ALL
+  SELECT r.key, r.n, r.lsn, r.op, CASE WHEN r.op = 'incr' THEN coalesce(CASE WHEN f.expiry <= r.ts THEN NULL ELSE f.value END, 0) + r.amount END,
+         CASE WHEN r.op = 'incr' THEN coalesce(r.expires_at, CASE WHEN f.expiry <= r.ts THEN NULL ELSE f.expiry END) END
+  FROM f JOIN r ON f.key = r.key AND r.n = f.n + 1)
+SELECT key, lsn, value AS counter FROM f WHERE op = 'incr'""", recursive=True)
 def kv_incr_ttl(spark, d):
     return state.ttl_counters(the_log(spark, d))
 
@@ -154,6 +163,43 @@ def kv_getset(spark, d):
     return state.getset(the_log(spark, d))
 
 
+@query("""
+, r AS (SELECT lsn, key, op, lag({'op': op, 'value': value}) OVER (PARTITION BY key ORDER BY lsn) AS p FROM log WHERE op IN ('put', 'delete'))
+SELECT lsn, key, CASE WHEN p.op = 'put' THEN p.value END AS old FROM r WHERE op = 'delete'""")
+def kv_getdel(spark, d):
+    return state.getdel(the_log(spark, d))
+
+
+@query("""
+, c AS (SELECT lsn, row_number() OVER (ORDER BY lsn) AS n, ['a' || lsn % 150, 'b' || lsn % 70] AS ks FROM log WHERE op = 'put'),
+f AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS lsn, 0 AS done, []::VARCHAR[] AS held
+  UNION ALL
+  SELECT c.n, c.lsn, CASE WHEN len(list_intersect(c.ks, f.held)) = 0 THEN 1 ELSE 0 END, CASE WHEN len(list_intersect(c.ks, f.held)) = 0 THEN list_concat(f.held, c.ks) ELSE f.held END
+  FROM f JOIN c ON c.n = f.n + 1)
+SELECT lsn, done FROM f WHERE n > 0""", recursive=True)
+def kv_msetnx(spark, d):
+    name = lambda p, m: F.concat(F.lit(p), (F.col("lsn") % m).cast("string"))
+    mapping = F.create_map(name("a", 150), F.col("value"), name("b", 70), F.col("value"))
+    return state.mset_if_absent(the_log(spark, d).where("op = 'put'").select("lsn", mapping.alias("mapping")))
+
+
+@query("SELECT a.key, CASE WHEN kv.key IS NULL THEN -2 WHEN kv.expires_at IS NULL THEN -1 ELSE floor((kv.expires_at - 1706000000.0) * 1000) END::BIGINT AS ttl FROM ask a LEFT JOIN kv ON a.key = kv.key")
+def kv_pttl(spark, d):
+    return state.ttl_millis(kv(spark, d), AS_OF, ask(spark).select("key"))
+
+
+@query("SELECT key, value, CASE WHEN key LIKE '%5' THEN 1706000000.0 + 1500 / 1000.0::DOUBLE ELSE expires_at END::DOUBLE AS expires_at FROM kv")
+def kv_pexpire(spark, d):
+    s = kv(spark, d)
+    return state.expire_millis(s, s.where("key LIKE '%5'").select("key", F.lit(1500).alias("millis")), AS_OF)
+
+
+@query("SELECT key, value FROM kv WHERE key > 'user:1' AND regexp_full_match(key, 'user:.*[0-4]') ORDER BY key LIMIT 25")
+def kv_scan(spark, d):
+    return state.scan_page(kv(spark, d).select("key", "value"), "user:1", "user:*[0-4]", 25)
+
+
 @query("""
 , r AS (SELECT lsn, key, op, lag(op) OVER (PARTITION BY key ORDER BY lsn) AS p FROM log WHERE op IN ('put', 'delete'))
 SELECT lsn, key, CASE WHEN p = 'put' THEN 1 ELSE 0 END AS existed FROM r WHERE op = 'delete'""")
@@ -274,6 +320,12 @@ def stream_xread(spark, d):
     return streams.read_many(streams.sequenced(the_log(spark, d)), cursors, 15)
 
 
+@query(STREAM + "SELECT st.lsn, st.stream, floor(log.ts * 1000)::BIGINT || '-' || seq AS id FROM st JOIN log ON st.lsn = log.lsn")
+def stream_ids(spark, d):
+    log = the_log(spark, d)
+    return streams.ids(streams.sequenced(log), log)
+
+
 @query(STREAM + "SELECT stream, count(*)::BIGINT AS n, max(seq) AS last_seq FROM st GROUP BY stream")
 def stream_xlen(spark, d):
     return streams.lengths(streams.sequenced(the_log(spark, d)))
@@ -326,9 +378,29 @@ def list_set(spark, d):
     return lists(spark, d).where(F.size("items") > 1).select("key", F.array_join(structures.lset(F.col("items"), 1, F.lit("x")), ",").alias("items"))
 
 
-@query()
+FOLD = """
+, r AS (SELECT key, op, value, row_number() OVER (PARTITION BY key ORDER BY lsn) AS n, count(*) OVER (PARTITION BY key) AS most FROM ops),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, most, []::VARCHAR[] AS items FROM r
+  UNION ALL
+  SELECT r.key, r.n, r.most, CASE
+    WHEN r.op = 'lpush' OR (r.op = 'lpushx' AND len(f.items) > 0) THEN list_prepend(r.value, f.items)
+    WHEN r.op = 'rpush' OR (r.op = 'rpushx' AND len(f.items) > 0) THEN list_append(f.items, r.value)
+    WHEN r.op = 'lpop' THEN f.items[2:] WHEN r.op = 'rpop' THEN f.items[:len(f.items) - 1] ELSE f.items END
+  FROM f JOIN r ON f.key = r.key AND r.n = f.n + 1)
+SELECT key, len(items)::INTEGER AS n, array_to_string(items, ',') AS items FROM f WHERE n = most"""
+
+
+@query(LISTS + ", ops AS (SELECT * FROM log WHERE op IS NOT NULL)" + FOLD, log=False, recursive=True)
 def list_pop(spark, d):
-    return structures.folded(list_log(spark, d))
+    return structures.folded(list_log(spark, d)).select("key", F.size("items").alias("n"), F.array_join("items", ",").alias("items"))
+
+
+@query(LISTS + ", ops AS (SELECT lsn, key, CASE WHEN lsn % 4 <> 0 AND op IN ('lpush', 'rpush') THEN op || 'x' ELSE op END AS op, value FROM log WHERE op IS NOT NULL)" + FOLD, log=False, recursive=True)
+def list_pushx(spark, d):
+    only = (F.col("lsn") % 4 != 0) & F.col("op").isin("lpush", "rpush")
+    log = list_log(spark, d).withColumn("op", F.when(only, F.concat("op", F.lit("x"))).otherwise(F.col("op")))
+    return structures.folded(log).select("key", F.size("items").alias("n"), F.array_join("items", ",").alias("items"))
 
 
 def hash_log(spark, d):
@@ -366,6 +438,17 @@ def hash_del(spark, d):
     return structures.hashes(hash_log(spark, d)).select("key", F.size(kept).alias("n")).where("n > 0")
 
 
+@query(HASH + "SELECT field, value FROM h WHERE key = 'h:3' AND field > 'f0' ORDER BY field LIMIT 4", log=False)
+def hash_scan(spark, d):
+    return state.scan_page(structures.hash_rows(hash_log(spark, d)).where("key = 'h:3'").select("field", "value"), "f0", "f*", 4, "field")
+
+
+@query("SELECT 'h:' || user_id % 20 AS key, 'f' || event_id % 7 AS field, regexp_replace(regexp_replace(sum(value::DECIMAL(30, 6))::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2", log=False)
+def hash_incrbyfloat(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
+    return structures.hincrbyfloat(e.select(F.lit("hincrbyfloat").alias("op"), F.concat(F.lit("h:"), (F.col("user_id") % 20).cast("string")).alias("key"), F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("field"), "value"))
+
+
 @query(HASH + "SELECT key, field, sum(value::BIGINT)::BIGINT::VARCHAR AS value FROM log WHERE op = 'hincrby' GROUP BY key, field", log=False)
 def hash_incrby(spark, d):
     return structures.hincrby(hash_log(spark, d))

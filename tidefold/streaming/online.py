@@ -3,23 +3,16 @@ result; in production the same plans run with a trigger interval."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.text import epoch_micros
+from tidefold.sources.shared import new_folder
 
 #: Trigger options by durability mode. Modes change when results are made durable, never what they are.
 COMMIT_MODES = {"strict": {"processingTime": "0 seconds"}, "safe": {"processingTime": "1 second"}, "fast": {"processingTime": "10 seconds"}, "once": {"availableNow": True}}
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidefold-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream; ts becomes a timestamp, which watermarks need, at its UTC instant."""
     fields = spark.read.parquet(path).schema
@@ -35,16 +28,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def collected(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream into Parquet and reads that. In complete and update mode the last batch's rows are the result."""
-    where, state = folder(spark), folder(spark)
+def start(stream: DataFrame, mode: str, where: str, state: str, commit: str = "once"):
+    """Runs the stream into a folder of Parquet folders, one a batch, which a batch that is run again replaces. `commit`
+    is one of COMMIT_MODES."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(where)
+        batch.write.mode("overwrite").parquet(where if mode == "complete" else f"{where}/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(where)
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(**COMMIT_MODES[commit]).start()
+
+
+def collected(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Runs the stream to the end of what is there and reads its result: in complete mode the last batch's rows, else
+    all batches'."""
+    where = new_folder(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(where if mode == "complete" else f"{where}/batch=-1")
+    start(stream, mode, where, new_folder(spark, "stream")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(where).select(*stream.columns)
 
 
 def tumbling(spark: SparkSession, path: str, width: str, late: str = "31 days") -> DataFrame:
@@ -53,6 +53,45 @@ def tumbling(spark: SparkSession, path: str, width: str, late: str = "31 days")
     return collected(spark, s.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", "total"), "complete")
 
 
+def sliding(spark: SparkSession, path: str, width: str, slide: str, late: str = "31 days") -> DataFrame:
+    """start (epoch seconds), event_type, n by overlapping windows of event time."""
+    s = events(spark, path).withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return collected(spark, s.select(F.unix_seconds("window.start").alias("start"), "event_type", "n"), "complete")
+
+
+def closed_windows(stream: DataFrame, width: str, late: str) -> DataFrame:
+    """start, n of the windows of a stream with ts that its watermark has passed; rows that come later still are dropped."""
+    s = stream.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"))
+    return s.select(F.unix_seconds("window.start").alias("start"), "n")
+
+
+def queue_view(spark: SparkSession, path: str) -> DataFrame:
+    """queue, depth, enqueued, taken, last_lsn: a stateful fold of enqueues and dequeues, in order of lsn within each
+    batch; rows older than a queue's state are late and ignored."""
+    import pandas as pd
+
+    def fold(key, frames, state):
+        depth, enqueued, taken, last = state.get if state.exists else (0, 0, 0, -1)
+        for pdf in frames:
+            for lsn, op in pdf.sort_values("lsn")[["lsn", "op"]].itertuples(index=False):
+                if lsn <= last:
+                    continue
+                last = int(lsn)
+                if op == "enqueue":
+                    depth, enqueued = depth + 1, enqueued + 1
+                elif depth:
+                    depth, taken = depth - 1, taken + 1
+        state.update((depth, enqueued, taken, last))
+        yield pd.DataFrame([(key[0], depth, enqueued, taken, last)], columns=["queue", "depth", "enqueued", "taken", "last_lsn"])
+
+    e = events(spark, path).where("event_type = 'click' OR (event_type = 'error' AND event_id % 2 = 1)")
+    rows = e.select(F.concat(F.lit("q"), (F.col("user_id") % 8).cast("string")).alias("queue"), F.col("event_id").alias("lsn"), F.when(F.col("event_type") == "click", "enqueue").otherwise("dequeue").alias("op"))
+    s = rows.groupBy("queue").applyInPandasWithState(fold, "queue string, depth long, enqueued long, taken long, last_lsn long", "depth long, enqueued long, taken long, last_lsn long", "update", "NoTimeout")
+    out = collected(spark, s, "update")
+    last = out.groupBy("queue").agg(F.max_by(F.struct("depth", "enqueued", "taken"), "last_lsn").alias("s"), F.max("last_lsn").alias("last_lsn"))
+    return last.select("queue", "s.depth", "s.enqueued", "s.taken", "last_lsn")
+
+
 def sessions(spark: SparkSession, path: str, gap: str, late: str = "31 days") -> DataFrame:
     """user_id, start (epoch seconds), n: sessions that end after a gap."""
     s = events(spark, path).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -72,6 +73,24 @@ def test_large_buckets_by_flips_and_blocks():
     assert groups(flips) == groups(blocks)
 
 
+def test_probe_of_buckets_over_batches():
+    rng = np.random.default_rng(4)
+    value = np.sort(np.concatenate([np.zeros(300, np.int64), rng.integers(1, 6, 40), np.full(90, 9)]))
+    fp = np.where(value == 0, 5, rng.integers(0, 1 << 40, len(value))) ^ (np.int64(1) << rng.integers(0, 3, len(value)))
+    part, ids, more = np.zeros(len(value), np.int32), np.arange(len(value)), np.zeros(len(value), np.int64)
+    cols = [part, value, ids, fp, more]
+    names = ["part", "value", "id", "fp", "more"]
+
+    def groups(cuts):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[s:e]) for c in cols], names=names) for s, e in zip([0, *cuts], [*cuts, len(value)])]
+        pairs = [(a, b) for out in simhash.probe(2, 128)(batches) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        return simhash.joined_sets(len(value), *(np.array(x, np.int64) for x in zip(*pairs))).tolist()
+
+    want = [min(j for j in range(len(value)) if value[j] == value[i] and simhash.apart(fp[i : i + 1].view(np.uint64), fp[j : j + 1].view(np.uint64))[0] <= 2) if value[i] == 0 else None for i in range(len(value))]
+    whole = groups([])
+    assert [w for w in want if w is not None] == whole[:300] and whole == groups([10, 50, 299, 310]) == groups([300]) == groups(list(range(7, len(value), 7)))
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3, 10])
 def test_plan_is_complete(threshold):
     sample = np.random.default_rng(0).integers(0, 1 << 63, 500, np.uint64)

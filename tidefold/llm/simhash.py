@@ -179,7 +179,8 @@ def small_links(key, fp, more, t: int, all_bits: int) -> tuple[np.ndarray, np.nd
 
 def large_labels(fp, more, t: int, all_bits: int) -> np.ndarray:
     """Smallest reachable index within one bucket. Where fingerprints are distinct, sorted and have no more bits, it is
-    linear in their number for t up to 2: each is looked up with all its flips. Else all pairs are compared, in blocks."""
+    linear in their number for t up to 2: each is looked up with all its flips. Else pairs are compared, in blocks, but
+    for those that are connected already."""
     n, label = len(fp), None
     if t <= 2 and n > 4000 and not more.any() and (fp[1:] > fp[:-1]).all():
         flips = [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in itertools.combinations(range(64), 2)] * (t == 2)
@@ -190,12 +191,19 @@ def large_labels(fp, more, t: int, all_bits: int) -> np.ndarray:
             if len(hit):
                 label = joined_sets(n, hit, at[hit], label)
         return np.arange(n) if label is None else label
-    many = max(1, min(256, (1 << 20) // n))
+    many, label = max(1, min(256, (1 << 18) // n)), np.arange(n)
     for s in range(0, n, many):
-        a, b = np.nonzero(apart(fp[s : s + many, None], fp[None, s:]) <= t)
-        a, b = a + s, b + s
-        ok = (a < b) & (apart(fp[a], fp[b]) + apart(more[a], more[b]) <= all_bits)
-        if ok.any() or label is None:
+        rows, others = np.arange(s, min(s + many, n)), np.arange(s, n)
+        if (label[rows] == label[s]).all():  # what is connected already isn't compared
+            others = others[label[others] != label[s]]
+        if not len(others):
+            continue
+        a, b = np.nonzero(apart(fp[rows, None], fp[None, others]) <= t)
+        a, b = rows[a], others[b]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        ok = apart(fp[a], fp[b]) + apart(more[a], more[b]) <= all_bits
+        if ok.any():
             label = joined_sets(n, a[ok], b[ok], label)
     return label
 
@@ -220,25 +228,26 @@ def probe(t: int, all_bits: int):
         return x[x != y], y[x != y]
 
     def run(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # of one key, or the last rows so far
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 now = [np.asarray(batch.column(i)) for i in range(5)]
                 if not len(now[0]):
                     continue
-                held = now if held is None else [np.concatenate(z) for z in zip(held, now)]
-                last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-                upto = last[-1] + 1 if len(last) else 0
-            elif held is None:
+                held.append(now)
+                if (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):  # rows are sorted: all of one key
+                    continue
+            if not held:
                 return
-            else:
-                upto = len(held[0])
-            if upto:
-                part, value, ids, fp, more = (z[:upto] for z in held)
-                x, y = stars(part, value, ids, fp.view(np.uint64), more.view(np.uint64))
-                held = [z[upto:] for z in held]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            rows = [np.concatenate(z) for z in zip(*held)]
+            upto = len(rows[0])
+            if batch is not None:
+                upto = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1]) + 1
+            held = [[z[upto:] for z in rows]] if upto < len(rows[0]) else []
+            part, value, ids, fp, more = (z[:upto] for z in rows)
+            x, y = stars(part, value, ids, fp.view(np.uint64), more.view(np.uint64))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return run
 

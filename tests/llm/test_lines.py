@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidefold.llm import lines
-from tidefold.llm.lines import LEAST_WORDS, NEAR_WORDS, dedup_lines, strip_lines
+from tidefold.llm.lines import LEAST_CHARS, LEAST_WORDS, NEAR_WORDS, dedup_lines, strip_lines
 
 
 def distance_within_one(a, b):
@@ -25,10 +25,11 @@ def brute(rows):
         stay = []
         for line in (t or "").split("\n"):
             w = line.lower().split()
-            gone = len(w) >= LEAST_WORDS and any(w == s or (len(w) >= NEAR_WORDS and len(s) >= NEAR_WORDS and distance_within_one(w, s)) for s in seen)
+            counts = len(w) >= LEAST_WORDS or sum(map(len, w)) >= LEAST_CHARS
+            gone = counts and any(w == s or (len(w) >= NEAR_WORDS and len(s) >= NEAR_WORDS and distance_within_one(w, s)) for s in seen)
             if not gone:
                 stay.append(line)
-            if len(w) >= LEAST_WORDS:
+            if counts:
                 seen.append(w)
         out[d] = "\n".join(stay)
     return out
@@ -61,6 +62,13 @@ def test_one_common_line_with_many_variants(documents, prose):
     assert got[0] == rows[0][1] and all(not got[i] for i in range(1, 200))
 
 
+def test_lines_of_one_long_word(documents):
+    line, url = "这是一个没有空格的句子它在许多文档中重复", "https://example.org/a/long/path"
+    rows = [(1, f"{line}\nshort\n{url}"), (2, f"short\n{line}\n{line[:19]}"), (3, f"{url}\n{line[:19]}")]
+    got = {r.row.doc_id: r.kept for r in dedup_lines(documents(rows)).collect()}
+    assert got == brute(rows) == {1: rows[0][1], 2: f"short\n{line[:19]}", 3: line[:19]}
+
+
 def test_a_star_is_dealt_over_tasks(documents, prose, monkeypatch):
     monkeypatch.setattr(lines, "STAR_ROWS", 10)
     test_one_common_line_with_many_variants(documents, prose)

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import broadcast_if_few, keep, table, whole
 
 NEAR_WORDS = 8
-#: Lines with fewer words than this always stay.
-LEAST_WORDS = 3
+#: Lines with fewer words than this, and fewer characters (white space apart), always stay: one line may be one word,
+#: as in scripts without spaces.
+LEAST_WORDS, LEAST_CHARS = 3, 20
 SPACE = r"[\x20\x09-\x0D]+"
 #: Pairs with one best line that a task verifies, about.
 STAR_ROWS = 256
@@ -55,9 +56,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(base: DataFrame) -> DataFrame:
-    """kid, salt, line, n, h and the four half keys (null for lines too short for the edit bound)."""
-    lines = base.select("kid", "salt", F.posexplode(F.split(whole(F.col("row.text")), "\n")).alias("line", "words"))
-    lines = lines.select("kid", "salt", "line", hashes(words_of(F.col("words"))).alias("wh"))
+    """kid, salt, line, n, h and the four half keys (null for lines too short for the edit bound) of the lines that are
+    long enough to go."""
+    lines = base.select("kid", "salt", F.posexplode(F.split(whole(F.col("row.text")), "\n")).alias("line", "text"))
+    lines = lines.select("kid", "salt", "line", words_of(F.col("text")).alias("words"))
+    lines = lines.where((F.size("words") >= LEAST_WORDS) | (F.length(F.array_join("words", "")) >= LEAST_CHARS))
+    lines = lines.select("kid", "salt", "line", hashes(F.col("words")).alias("wh"))
     lines = lines.select("kid", "salt", "line", F.size("wh").alias("n"), "wh")
     key = lambda less, last: F.when(F.col("n") >= NEAR_WORDS, half_key(F.col("wh"), F.col("n") - less, F.col("n"), last))
     return lines.select("kid", "salt", "line", "n", F.xxhash64("wh", F.lit(-1)).alias("h"), *[key(a, b).alias(f"k{a}{b}") for a in (0, 1) for b in (0, 1)])
@@ -163,7 +167,7 @@ def near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(row, n_lines, n_exact, n_near, kept): all columns of `docs`, lines in all and those that went, and the rest.
 
-    Null and empty texts have one line without words, which stays, as do all lines of fewer than LEAST_WORDS words.
+    Null and empty texts have one line without words, which stays, as do all lines of fewer than LEAST_WORDS words and LEAST_CHARS characters.
     Rows equal in doc_id and text are one document and lose the same lines; null ids come last. Line ends are \\n; a
     line's other white space and letters' case don't count. A line of n words that has a candidate partner costs
     about n to the power of 1.5 steps. An empty table gives an empty result.
@@ -171,7 +175,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     occ = keep(occurrences(base))
     keys = [F.min(c).alias(c) for c in ("k00", "k01", "k10", "k11")]
-    distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), *keys).where(F.col("n") >= LEAST_WORDS))
+    distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), *keys))
     near = near_lines(base, distinct)
     again = occ.join(broadcast_if_few(distinct.where("c > 1").select("h", "first"), BROADCAST_LINES), "h").where(place() != F.col("first"))
     exact = again.select("kid", "salt", "line", F.lit(0).alias("near"))
@@ -206,7 +210,7 @@ WITH l AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents),
 w AS (SELECT doc_id, i, line, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w FROM l),
-f AS (SELECT w, min((doc_id, i)) AS first FROM w WHERE len(w) >= 3 GROUP BY w),
+f AS (SELECT w, min((doc_id, i)) AS first FROM w WHERE len(w) >= 3 OR length(array_to_string(w, '')) >= 20 GROUP BY w),
 v AS (
   SELECT w, first, w AS v, 0 AS p FROM f WHERE len(w) >= 8
   UNION ALL

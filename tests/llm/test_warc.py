@@ -134,3 +134,13 @@ def test_folded_values():
     data = record(1, b"x").replace(b"\r\nWARC-Payload", b"\r\nX-Note: one\r\n  two\r\nWARC-Payload", 1)
     (r,) = salvage(data)
     assert r[0] == "record" and r[3]["x-note"] == "one two"
+
+
+def test_released_folders_are_gone(spark):
+    from tidefold.llm.common import keep, release
+
+    kept = keep(spark.range(3))
+    file = kept.inputFiles()[0]
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(file)

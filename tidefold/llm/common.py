@@ -32,8 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders made so far, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders that new_folder() has named, once nothing reads them any more; how many there were. What
+    cut() wrote Spark deletes itself where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in made:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

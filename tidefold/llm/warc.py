@@ -78,15 +78,16 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 #: What a field's name may hold, and what its value may not.
 NAME, CONTROL = re.compile(rb"[!#-'*+\-.0-9A-Z^-z|~]+"), re.compile(rb"[\x00-\x08\x0A-\x1F\x7F]")
+BLANK = re.compile(rb"\r\n\r\n")
 START = re.compile(VERSION.pattern + b"|" + re.escape(GZIP))
 
 
-def member(data: bytes, at: int):
+def member(data: memoryview, at: int):
     """(end, bytes) of the gzip member that begins at `at`, None where it is damaged or holds no version line."""
-    d, parts, view, upto, step = zlib.decompressobj(31), [], memoryview(data), at, 4096
+    d, parts, upto, step = zlib.decompressobj(31), [], at, 4096
     try:
         while not d.eof and upto < len(data):
-            parts.append(d.decompress(view[upto : upto + step]))
+            parts.append(d.decompress(data[upto : upto + step]))
             upto, step = upto + step, min(2 * step, 1 << 20)  # what lies behind a member is copied at each, so little of it
     except zlib.error:
         return None
@@ -94,16 +95,17 @@ def member(data: bytes, at: int):
     return (min(upto, len(data)) - len(d.unused_data), raw) if d.eof and VERSION.search(raw) else None
 
 
-def one_record(data: bytes, at: int):
+def one_record(data: memoryview, at: int):
     """(end, fields, payload) of the valid record that begins at `at`, else the reason why there is none."""
     m = VERSION.match(data, at)
     if not m:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", m.end())
-    if stop < 0:
+    gap = BLANK.search(data, m.end())
+    if not gap:
         return "no end of header"
+    stop = gap.start()
     fields, key = {}, ""
-    for line in data[m.end() : stop].split(b"\r\n"):
+    for line in bytes(data[m.end() : stop]).split(b"\r\n"):
         if key and line[:1] in (b" ", b"\t") and not CONTROL.search(line):  # a folded value goes on
             fields[key] += " " + line.strip().decode("utf-8", "replace")
             continue
@@ -118,22 +120,23 @@ def one_record(data: bytes, at: int):
     end = start + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         return "no end of record"
-    _, _, payload = data[start:end].partition(b"\r\n\r\n")
+    inner = BLANK.search(data, start, end)
+    payload = data[inner.end() : end] if inner else data[end:end]
     said = fields.get("warc-payload-digest", "")
     if fields["warc-type"] == "response" and said.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != said[5:]:
         return "digest differs"
     return end + 4, fields, payload
 
 
-def salvage(data: bytes, begin: int = 0, packed: bool = True):
+def salvage(data: bytes | memoryview, begin: int = 0, packed: bool = True):
     """Rows (kind, offset, length, fields, payload, reason) of one archive; offsets in a member count from its start.
 
     Records may be plain or gzipped, also within one archive. After a failed check it goes on at the earlier of the next
     version line and, if `packed`, the next gzip member."""
-    at, gap, why = 0, None, ""
+    at, gap, why, data = 0, None, "", memoryview(data)
     while at < len(data):
         found, inner = one_record(data, at), None
-        if packed and data.startswith(GZIP, at):
+        if packed and data[at : at + len(GZIP)] == GZIP:
             inner = member(data, at)
             found = "bad gzip member" if inner is None else found
         if isinstance(found, str) and inner is None:
@@ -168,11 +171,11 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows, held = [], 0
-                for kind, at, n, f, payload, why in salvage(data.as_py()):
+                for kind, at, n, f, payload, why in salvage(data.as_buffer()):
                     own = f.get("warc-type") == "response"
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if own else f.get("warc-payload-digest", "").removeprefix("sha1:")
                     size = len(payload) if own else int(f.get("x-payload-length") or 0)
-                    rows.append((kind, path, at, n, f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), digest, size, f.get("warc-refers-to"), why, payload if with_payload else None))
+                    rows.append((kind, path, at, n, f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), digest, size, f.get("warc-refers-to"), why, bytes(payload) if with_payload else None))
                     held += len(payload) if with_payload else 0
                     if held > 16 << 20:
                         yield as_batch(rows)

@@ -26,6 +26,8 @@ SEED = 42
 PLAN_ROWS = 20000
 #: Buckets up to this size are compared by shifts of the sorted rows, larger ones by blocks or by flipping bits.
 SMALL = 48
+#: Fingerprints that are linked or of several documents, with their component, that are sent to all tasks at most.
+BROADCAST_LINKED = 500000
 #: Dropped documents, an id and a hash each, that are sent to all tasks at most.
 BROADCAST_DROPS = 200000
 
@@ -286,12 +288,14 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     empty result.
     """
     fps = cut(fingerprints(docs, width).select("doc_id", "fp"))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("more")), threshold))
-    own = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = own.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    own = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("m"))
+    # a document alone is its own component: only the fingerprints of larger ones meet the documents
+    by_fp = keep(own.join(least.where("m > 1"), "root").select(F.col("fp").alias("f"), F.struct("component_id").alias("c")))
+    found = fps.join(broadcast_if_few(by_fp, BROADCAST_LINKED), F.col("fp") == F.col("f"), "left")
+    return found.select("doc_id", "fp", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c.component_id")).alias("component_id"))
 
 
 #: Corpus deduplication: near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of at least

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -24,6 +26,43 @@ def targets(sizes, cap=3.0):
     return out
 
 
+def plain_copies(rows):
+    """How often each of the rows (doc_id, text, source) is taken: documents in order of their keys as long as they fit,
+    and then the one that brings the source nearest to its target."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+    def key(d, t):
+        weight = max(0.05, 1.0 - 4.0 * (len(re.findall(r"[!#$%&*+/<=>@\\^_`{|}~]", t or "")) / max(1, len(t or ""))))
+        drawn = f"{'' if d is None else d}:17:{hashlib.md5((t or '').encode()).hexdigest()}"
+        return -math.log((int(hashlib.md5(drawn.encode()).hexdigest()[:12], 16) + 0.5) / 2**48) / weight
+
+    by, out = defaultdict(list), {}
+    for i, (d, t, s) in enumerate(rows):
+        by[s].append((key(d, t), size(t), i))
+    goal = targets({s: sum(n for _, n, _ in x) for s, x in by.items()})
+    for s, x in by.items():
+        whole = sum(n for _, n, _ in x)
+        epochs = int(goal[s] // whole) if whole else 0
+        rest, used, taken = goal[s] - epochs * whole, 0, set()
+        for _, n, i in sorted(x):
+            if rest <= 0 or used + n > rest:
+                break
+            used += n
+            taken.add(i)
+        left = rest - used
+        others = [(abs(left - n), k, i) for k, n, i in x if i not in taken and n and abs(left - n) < left]
+        taken |= {min(others)[2]} if others else set()
+        out |= {i: epochs + (i in taken) for _, _, i in x}
+    return [out[i] for i in range(len(rows))]
+
+
+def test_against_a_plain_version(documents, prose):
+    rows = [r for r in rows_of(prose) if r[1]] + [(2000 + i, prose(i, 40) + " #$%" * 30, "a") for i in range(20)]
+    want = Counter((d, t, n) for (d, t, _), n in zip(rows, plain_copies(rows)))
+    got = Counter((r.doc_id, r.size, r.copies) for r in mix_sources(documents(rows)).collect())
+    assert got == Counter((d, len(t.split()), n) for (d, t, n), c in want.items() for _ in range(c))
+
+
 def rows_of(prose):
     return [(i, prose(i, 5 + i * 7 % 120), ("a", "b", "c", None, "zé", "\U0001f600")[min(5, i % 9)]) for i in range(300)] + [(900, None, "a"), (901, "", "only empty"), (None, "x y z", "b"), (902, "one two", "tiny")]
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tidefold.llm.mixing import OP3_SQL, mix_sources, repeat_documents
+from tidefold.operators import scans
 
 
 def targets(sizes, cap=3.0):
@@ -86,7 +87,9 @@ def test_targets_and_taken(documents, prose):
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(documents(rows)).collect()))
 
 
-def test_oracle(documents, prose):
+@pytest.mark.parametrize("hot", [5_000_000, 2])
+def test_oracle(documents, prose, monkeypatch, hot):
+    monkeypatch.setattr(scans, "HOT_ROWS", hot)
     df = documents(rows_of(prose))
     con = duckdb.connect()
     con.register("documents", df.select("doc_id", "text", "source").toArrow())

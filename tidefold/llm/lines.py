@@ -26,6 +26,8 @@ NEAR_WORDS = 8
 #: as in scripts without spaces.
 LEAST_WORDS, LEAST_CHARS = 3, 20
 SPACE = r"[\x20\x09-\x0D]+"
+#: Places of one line that are dealt to one task at most.
+HOT_PLACES = 50000
 #: Pairs with one best line that a task verifies, about.
 STAR_ROWS = 256
 #: Half keys that lines share, and repeated lines with their first places, that are sent to all tasks at most.
@@ -164,6 +166,16 @@ def near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.where(within_one(F.col("a"), F.col("b"))).select("h").distinct()
 
 
+def repeated(occ: DataFrame, lines: DataFrame) -> DataFrame:
+    """The places `occ` of `lines` (h, first, c), with first. Beyond BROADCAST_LINES lines, those with more than HOT_PLACES
+    places meet them where they are, and only the others' places are dealt by line."""
+    if lines.count() <= BROADCAST_LINES:
+        return occ.join(F.broadcast(lines.drop("c")), "h")
+    hot = broadcast_if_few(keep(lines.where(F.col("c") > HOT_PLACES).drop("c")), BROADCAST_LINES)
+    rest = occ.join(hot.select("h"), "h", "left_anti").join(lines.where(F.col("c") <= HOT_PLACES).drop("c"), "h")
+    return occ.join(hot, "h").unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(row, n_lines, n_exact, n_near, kept): all columns of `docs`, lines in all and those that went, and the rest.
 
@@ -177,7 +189,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keys = [F.min(c).alias(c) for c in ("k00", "k01", "k10", "k11")]
     distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), *keys))
     near = near_lines(base, distinct)
-    again = occ.join(broadcast_if_few(distinct.where("c > 1").select("h", "first"), BROADCAST_LINES), "h").where(place() != F.col("first"))
+    again = repeated(occ, keep(distinct.where("c > 1").select("h", "first", "c"))).where(place() != F.col("first"))
     exact = again.select("kid", "salt", "line", F.lit(0).alias("near"))
     also = distinct.join(near, "h").select("first.kid", "first.salt", "first.line", F.lit(1).alias("near"))
     gone = exact.unionAll(also).groupBy("kid", "salt").agg(F.collect_set(F.struct("line", "near")).alias("gone"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, table, whole, word_count
+from tidefold.operators.scans import running
 
 CELLS = 1024
 #: A row per source of 5 numbers and a name: up to so many are broadcast.
@@ -40,19 +41,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Da
 
     Sources in order of code points, nulls last, take the weights in turn. The shares of all sizes that exceed `cap`
     times their source are cut there and the excess is shared again by weight: target = least(cap * size, x * weight)
-    for the one x at which the targets add up, found in order of cap * size / weight.
+    for the one x at which the targets add up, found in order of cap * size / weight. Sums over the sources are split
+    over ranges where these are many.
     """
-    every, order = Window.partitionBy(), Window.orderBy("ratio", "place")
+    s = cut(sizes.select("source", "source_size", F.lit(0).alias("one"), F.struct(F.col("source").isNull().alias("null"), "source").alias("name")))
+    n, total = s.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    s = running(s, ["one"], "name", {"place": F.lit(1)}, most=n)
     turn = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
-    s = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double"))
     s = s.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
-    before = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.sum("source_size").over(every) - before) / left).withColumn("rank", F.row_number().over(order))
-    fits = F.when(F.col("level") <= F.col("ratio"), F.col("rank"))
-    s = s.withColumn("x", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), fits).over(every))
-    return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("x"), F.lit(0.0)) * F.col("weight")).alias("target"))
+    s = cut(s.withColumn("order", F.struct("ratio", "place")))
+    s = running(s, ["one"], "order", {"limits": F.col("limit"), "weights": F.col("weight")}, most=n)
+    every = s.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    s = cut(s.withColumn("level", (F.lit(total).cast("double") - (F.col("limits") - F.col("limit"))) / (F.lit(every) - F.col("weights") + F.col("weight"))))
+    x = s.where(F.col("level") <= F.col("ratio")).agg(F.min_by("level", "order")).first()[0] or 0.0
+    return s.select("source", "source_size", F.least("limit", F.lit(x) * F.col("weight")).alias("target"))
 
 
 def ending(totals: DataFrame, cell: str, begin: DataFrame) -> DataFrame:

@@ -58,15 +58,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(base: DataFrame) -> DataFrame:
-    """kid, salt, line, n, h and the four half keys (null for lines too short for the edit bound) of the lines that are
-    long enough to go."""
+    """kid, salt, line, n, own (whether the line is long enough to go), h and the four half keys (null for lines too short
+    for the edit bound)."""
     lines = base.select("kid", "salt", F.posexplode(F.split(whole(F.col("row.text")), "\n")).alias("line", "text"))
-    lines = lines.select("kid", "salt", "line", words_of(F.col("text")).alias("words"))
-    lines = lines.where((F.size("words") >= LEAST_WORDS) | (F.length(F.array_join("words", "")) >= LEAST_CHARS))
-    lines = lines.select("kid", "salt", "line", hashes(F.col("words")).alias("wh"))
-    lines = lines.select("kid", "salt", "line", F.size("wh").alias("n"), "wh")
+    lines = lines.select("kid", "salt", "line", "text", hashes(words_of(F.col("text"))).alias("wh"))
+    own = F.when(F.size("wh") >= LEAST_WORDS, True).otherwise(F.length(F.regexp_replace(F.lower("text"), SPACE, "")) >= LEAST_CHARS)
+    lines = lines.select("kid", "salt", "line", F.size("wh").alias("n"), own.alias("own"), "wh")
     key = lambda less, last: F.when(F.col("n") >= NEAR_WORDS, half_key(F.col("wh"), F.col("n") - less, F.col("n"), last))
-    return lines.select("kid", "salt", "line", "n", F.xxhash64("wh", F.lit(-1)).alias("h"), *[key(a, b).alias(f"k{a}{b}") for a in (0, 1) for b in (0, 1)])
+    return lines.select("kid", "salt", "line", "n", "own", F.xxhash64("wh", F.lit(-1)).alias("h"), *[key(a, b).alias(f"k{a}{b}") for a in (0, 1) for b in (0, 1)])
 
 
 def place() -> Column:
@@ -187,7 +186,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     occ = keep(occurrences(base))
     keys = [F.min(c).alias(c) for c in ("k00", "k01", "k10", "k11")]
-    distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), *keys))
+    distinct = keep(occ.groupBy("h").agg(F.min(place()).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), F.max("own").alias("own"), *keys).where("own").drop("own"))
     near = near_lines(base, distinct)
     again = repeated(occ, keep(distinct.where("c > 1").select("h", "first", "c"))).where(place() != F.col("first"))
     exact = again.select("kid", "salt", "line", F.lit(0).alias("near"))

@@ -130,6 +130,28 @@ def series_summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return s.select(*group, "n", "min", "p50", "p95", "p99", "max")
 
 
+def mode_rates(rows: DataFrame) -> DataFrame:
+    """mode, ops, rate (operations a second), bytes, ratio (bytes before compression by bytes after) of (mode, ops,
+    seconds, raw_bytes, bytes)."""
+    m = rows.groupBy("mode").agg(F.sum("ops").alias("ops"), F.sum("seconds").alias("seconds"), F.sum("raw_bytes").alias("raw"), F.sum("bytes").alias("bytes"))
+    return m.select("mode", "ops", F.when(F.col("seconds") > 0, F.col("ops") / F.col("seconds")).otherwise(0.0).alias("rate"), "bytes", F.when(F.col("bytes") > 0, F.col("raw") / F.col("bytes")).otherwise(1.0).alias("ratio"))
+
+
+def mode_speedups(rates: DataFrame) -> DataFrame:
+    """mode, other, speedup of each pair of the few modes of mode_rates(), each against each later one by name."""
+    b = rates.select(F.col("mode").alias("other"), F.col("rate").alias("_r"))
+    return rates.join(b, F.col("mode") < F.col("other")).select("mode", "other", F.when(F.col("_r") > 0, F.col("rate") / F.col("_r")).alias("speedup"))
+
+
+def wire_summary(rows: DataFrame) -> DataFrame:
+    """bench, n, errors, rate, p50, p95, p99 of calls (bench, latency in seconds, ok): calls that failed count as errors
+    and have no latency."""
+    totals = rows.groupBy(F.col("bench").alias("b")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.sum(F.when(F.col("ok"), F.col("latency"))).alias("seconds"))
+    s = order_statistics(rows.where("ok"), ["bench"], "latency", {f"p{p}": nearest_place(p) for p in (50, 95, 99)})
+    both = s.join(totals, F.col("bench") == F.col("b"))
+    return both.select("bench", F.col("calls").alias("n"), "errors", F.when(F.col("seconds") > 0, F.col("n") / F.col("seconds")).otherwise(0.0).alias("rate"), "p50", "p95", "p99")
+
+
 def status_rollup(checks: DataFrame) -> DataFrame:
     """report, n, passed, failed, status of (report, check, ok), and a row of totals with a null report. A report without
     a failed check is complete; one without any passed check is missing."""

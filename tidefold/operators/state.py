@@ -134,6 +134,24 @@ def value_type(value: Column) -> Column:
     return F.when(value.isNull(), "none").when(value.rlike(r"^\s*\["), "list").when(value.rlike(r"^\s*\{"), "hash").otherwise("string")
 
 
+#: What kind of value each command works on.
+WORKS_ON = {"GET": "string", "APPEND": "string", "INCR": "string", "LPUSH": "list", "LLEN": "list", "LRANGE": "list", "HSET": "hash", "HGET": "hash", "HLEN": "hash"}
+
+
+def type_errors(state: DataFrame, commands: DataFrame) -> DataFrame:
+    """pos, error of `commands` (pos, name, key, n_args): null where a command may run; else the reply that it is unknown,
+    lacks its key, or meets a key of another kind. Errors are values: the other commands go on."""
+    kinds = F.create_map(*[F.lit(x) for kv in WORKS_ON.items() for x in kv])
+    wanted, has = F.try_element_at(kinds, F.upper("name")), value_type(F.col("value"))
+    found = commands.join(state.select("key", "value"), "key", "left")
+    error = (
+        F.when(wanted.isNull(), F.concat(F.lit("ERR unknown command '"), "name", F.lit("'")))
+        .when(F.col("n_args") < 1, F.concat(F.lit("ERR wrong number of arguments for '"), F.lower("name"), F.lit("' command")))
+        .when((has != "none") & (has != wanted), "WRONGTYPE Operation against a key holding the wrong kind of value")
+    )
+    return found.select("pos", error.alias("error"))
+
+
 def rename(state: DataFrame, old: str, new: str) -> DataFrame:
     """key, value, expires_at after RENAME: the time to live is lost; renaming to itself deletes; a missing key is an error."""
     if not state.where(F.col("key") == old).limit(1).count():

@@ -314,6 +314,33 @@ def stat_throughput(spark, d):
     return reports.throughput(rows, ["l_linestatus"]).withColumn("seconds", F.round("seconds", 6)).withColumn("rate", F.round("rate", 6))
 
 
+MODE_RATES = "WITH m AS (SELECT l_returnflag || l_linestatus AS mode, count(*)::BIGINT AS ops, sum(l_tax) AS seconds, sum(l_linenumber)::BIGINT AS raw, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem GROUP BY 1)\n"
+
+
+def mode_rates(spark, d):
+    c = F.col
+    rows = t(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("mode"), F.lit(1).cast("long").alias("ops"), c("l_tax").alias("seconds"), c("l_linenumber").cast("long").alias("raw_bytes"), c("l_quantity").cast("long").alias("bytes"))
+    return reports.mode_rates(rows)
+
+
+@query(MODE_RATES + "SELECT mode, ops, round(ops / seconds, 6) AS rate, bytes, round(raw / bytes, 6) AS ratio FROM m")
+def stat_mode_rates(spark, d):
+    return mode_rates(spark, d).withColumn("rate", F.round("rate", 6)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(MODE_RATES + "SELECT a.mode, b.mode AS other, round((a.ops / a.seconds) / (b.ops / b.seconds), 6) AS speedup FROM m a JOIN m b ON a.mode < b.mode")
+def stat_mode_speedups(spark, d):
+    return reports.mode_speedups(mode_rates(spark, d)).withColumn("speedup", F.round("speedup", 6))
+
+
+@query("""
+WITH v AS (SELECT event_type AS bench, list(value ORDER BY value) FILTER (WHERE event_id % 10 <> 0) AS v, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_id % 10 = 0)::BIGINT AS errors, sum(value) FILTER (WHERE event_id % 10 <> 0) AS s FROM events GROUP BY 1)
+SELECT bench, n, errors, round(len(v) / s, 6) AS rate, v[round_even(0.5 * (len(v) - 1), 0)::BIGINT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::BIGINT + 1] AS p95, v[round_even(0.99 * (len(v) - 1), 0)::BIGINT + 1] AS p99 FROM v""")
+def stat_wire_summary(spark, d):
+    rows = t(spark, d, "events").select(F.col("event_type").alias("bench"), F.col("value").alias("latency"), (F.col("event_id") % 10 != 0).alias("ok"))
+    return reports.wire_summary(rows).withColumn("rate", F.round("rate", 6))
+
+
 @query("SELECT coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'none') AS reason, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stat_reason_counts(spark, d):
     return reports.reason_counts(t(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("r")), "r")

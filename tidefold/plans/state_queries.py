@@ -472,6 +472,16 @@ def key_type(spark, d):
     return state.mget(kv(spark, d), ask(spark)).select("key", state.value_type(F.col("value")).alias("type"))
 
 
+@query("""
+, c AS (SELECT pos, key, ['GET', 'LLEN', 'HGET', 'nope'][pos % 4 + 1] AS name, CASE WHEN pos % 9 = 0 THEN 0 ELSE 1 END AS n_args FROM ask),
+k AS (SELECT c.*, CASE WHEN kv.value IS NULL THEN 'none' WHEN kv.value LIKE '[%' THEN 'list' WHEN kv.value LIKE '{%' THEN 'hash' ELSE 'string' END AS has FROM c LEFT JOIN kv ON c.key = kv.key)
+SELECT pos, CASE WHEN name = 'nope' THEN 'ERR unknown command ' || chr(39) || 'nope' || chr(39) WHEN n_args < 1 THEN 'ERR wrong number of arguments for ' || chr(39) || lower(name) || chr(39) || ' command'
+  WHEN has <> 'none' AND has <> CASE name WHEN 'GET' THEN 'string' WHEN 'LLEN' THEN 'list' ELSE 'hash' END THEN 'WRONGTYPE Operation against a key holding the wrong kind of value' END AS error FROM k""")
+def command_errors(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("GET", "LLEN", "HGET", "nope"))), (F.col("pos") % 4 + 1).cast("int"))
+    return state.type_errors(kv(spark, d), ask(spark).select("pos", "key", name.alias("name"), F.when(F.col("pos") % 9 == 0, 0).otherwise(1).alias("n_args")))
+
+
 @query("SELECT page_id, regexp_full_match(url, '[A-Za-z0-9_\\-:.]+') AND length(url) <= 1024 AS valid FROM pages", log=False)
 def key_validation(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", valid_key(F.col("url")).alias("valid"))

@@ -61,9 +61,10 @@ def occurrences(base: DataFrame) -> DataFrame:
     """kid, salt, line, n, own (whether the line is long enough to go), h and the four half keys (null for lines too short
     for the edit bound)."""
     lines = base.select("kid", "salt", F.posexplode(F.split(whole(F.col("row.text")), "\n")).alias("line", "text"))
-    lines = lines.select("kid", "salt", "line", "text", hashes(words_of(F.col("text"))).alias("wh"))
-    own = F.when(F.size("wh") >= LEAST_WORDS, True).otherwise(F.length(F.regexp_replace(F.lower("text"), SPACE, "")) >= LEAST_CHARS)
-    lines = lines.select("kid", "salt", "line", F.size("wh").alias("n"), own.alias("own"), "wh")
+    # what is said of a line's words is bound to them, so that they are split once and texts go no further
+    said = lambda w: F.struct(hashes(w).alias("wh"), ((F.size(w) >= LEAST_WORDS) | (F.length(F.array_join(w, "")) >= LEAST_CHARS)).alias("own"))
+    lines = lines.select("kid", "salt", "line", let(words_of(F.col("text")), said).alias("x"))
+    lines = lines.select("kid", "salt", "line", F.size("x.wh").alias("n"), F.col("x.own").alias("own"), F.col("x.wh").alias("wh"))
     key = lambda less, last: F.when(F.col("n") >= NEAR_WORDS, half_key(F.col("wh"), F.col("n") - less, F.col("n"), last))
     return lines.select("kid", "salt", "line", "n", "own", F.xxhash64("wh", F.lit(-1)).alias("h"), *[key(a, b).alias(f"k{a}{b}") for a in (0, 1) for b in (0, 1)])
 

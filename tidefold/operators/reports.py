@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.text import jaccard, savings_percent, tokens
 from tidefold.functions.udfs import CODECS, decompress
 from tidefold.operators.scans import running
+from tidefold.sources.shared import keep
 
 
 def expanded_corpus(access: DataFrame, usage: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -98,7 +99,7 @@ def order_statistics(rows: DataFrame, group: list[str], value: str, places: dict
     Values are counted, and counts summed in order: no group is brought together in one row or, beyond
     scans.HOT_ROWS distinct values, in one task. Nulls don't count.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = keep(rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     upto = running(counts, group, "_v", {"_u": F.col("_c")})
     n = F.col("_n")
     totals = counts.select(*group, "_v", "_c").groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.sum("_c").alias("_n"))

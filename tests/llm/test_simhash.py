@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidefold.llm import simhash
 from tidefold.llm.links import components
@@ -174,3 +175,19 @@ def test_similar_links_match_all_pairs(prose):
         a, b = similar_links(ids, sets, block, across)
         assert label(list(zip(a, b))) == label(want)
         assert all(alike(set(sets[i].tolist()), set(sets[j].tolist())) for i, j in zip(a, b))
+
+
+def test_bands_hold_pairs_at_the_limit():
+    rng = np.random.default_rng(3)
+    sets = rng.integers(0, 1 << 63, (20000, 10), np.uint64)  # of each, 9 and 9 with 8 in common; 0.01 missed are expected
+    assert sum(not (simhash.band_keys(h[:9]) == simhash.band_keys(h[1:])).any() for h in sets) <= 1
+
+
+def test_corpus_deduplication_compares_no_fingerprints(documents, prose, monkeypatch):
+    """Fingerprints of texts in one language are alike by the square of the texts; bands aren't."""
+    monkeypatch.setattr(simhash, "links", None)
+    rows = [(i, prose(7000 + i, 80)) for i in range(200)]
+    near = [(1000 + i, f"{t} more") for i, t in rows[::20]]
+    assert sorted(r.doc_id for r in drop_near_duplicates(documents(rows + near)).collect()) == list(range(200))
+    distinct = simhash.sketches(documents(rows + near)).withColumn("id", F.col("doc_id"))
+    assert {(r.a, r.b) for r in simhash.candidates(distinct).collect()} == {(1000 + i, i) for i in range(0, 200, 20)}

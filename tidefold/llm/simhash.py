@@ -299,25 +299,17 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 
 #: Corpus deduplication: near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of at least
-#: 0.8 (9 * shared >= 4 * (one + other), in integers), or that others of the kind connect. Such texts differ in 15 % of
-#: the bits at most on average, 19 of 128. Candidates are pairs within NEAR_BITS of 128 that are within PROBE_BITS of
-#: either 64, and pairs with one of BANDS bands of BAND_ROWS minimal hashes in common: 0.9996 of the pairs at 0.8.
-WIDTH, PROBE_BITS, NEAR_BITS = 5, 10, 32
-BANDS, BAND_ROWS = 20, 5
-MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: 0.8 (9 * shared >= 4 * (one + other), in integers), or that others of the kind connect. Candidates are pairs with one of
+#: BANDS bands of BAND_ROWS minimal hashes in common: all but 5 in 10 million of the pairs at 0.8, fewer above, and of pairs
+#: that share little next to none, so that the candidates of a text don't grow with the corpus.
+WIDTH, BANDS, BAND_ROWS = 5, 48, 6
+MINIMA = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 #: Shingles of one side of a task of comparisons, about; larger groups of candidates are compared block by block.
 BLOCK_SHINGLES = 500000
 #: Candidates' places, an id and two hashes each, that are sent to all tasks at most.
 BROADCAST_CANDIDATES = 200000
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Other hashes of hashes (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; of all words where they are fewer than a shingle's."""
     words = raw.lower().split()
@@ -332,25 +324,22 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, n))
 
 
-def majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65536):
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
-
-
 def band_keys(h: np.ndarray) -> np.ndarray:
-    """A hash for each band of minimal hashes; none for an empty set."""
+    """A hash for each band of minimal hashes, of 32 bits each; none for an empty set."""
     if not len(h):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
-    for at in range(0, len(h), 4096):
-        least = np.minimum(least, ((h[at : at + 4096, None] ^ MINIMA[0]) * MINIMA[1]).min(0))
+    h, least = h.astype(np.uint32), np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    room = np.empty((min(len(h), 512), len(least)), np.uint32)
+    for at in range(0, len(h), 512):
+        some = room[: len(h) - at]
+        np.bitwise_xor(h[at : at + 512, None], MINIMA[0], out=some)
+        np.multiply(some, MINIMA[1], out=some)
+        np.minimum(least, some.min(0), out=least)
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, salt, s1 and s2 (a hash of the set of shingles), n (its size), fp, more, bands of (doc_id, text)."""
+    """doc_id, salt, s1 and s2 (a hash of the set of shingles), n (its size), bands of (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -358,13 +347,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             for x in batch.column("text"):
                 h = shingle_set(x.as_py() or b"", WIDTH)
                 s = [signed(xxhash.xxh64_intdigest(h.tobytes(), seed)) for seed in (0, 1)]
-                rows.append((*s, len(h), majority(h), majority(mixed(h)), band_keys(h)))
+                rows.append((*s, len(h), band_keys(h)))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "salt", "s1", "s2", "n", "fp", "more", "bands"])
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "salt", "s1", "s2", "n", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_salt().alias("salt"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, salt long, s1 long, s2 long, n long, fp long, more long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, salt long, s1 long, s2 long, n long, bands array<long>")
 
 
 def similar_links(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -412,6 +401,13 @@ def similar_links(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, ac
     return (none, none) if not found else tuple(np.array(found, np.int64).T)
 
 
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b): ids of rows of `distinct` (id, bands) with a band in common, the smallest of each band with the others."""
+    keys = distinct.select("id", F.explode("bands").alias("band"))
+    stars = keys.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b < c").select("band", "b")
+    return keys.join(stars, "band").select(F.col("id").alias("a"), "b").where("a <> b")
+
+
 def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): links of near duplicates among rows of `distinct` that `groups` (node, root) holds as candidates of each
     other. Sets of shingles are made again, for candidates only; a group of k blocks is compared in k * (k + 1) / 2 tasks."""
@@ -449,20 +445,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     a hash of the text; of rows equal in both one stays).
 
     Documents of equal sets of shingles take part once, those without words are near duplicates of each other.
-    Candidates are connected by links of fingerprints and of bands; within a group of them, near duplicates are
-    connected by links that are verified. The rows to drop meet the documents where these are read if there are at most
+    Candidates are connected by links of bands; within a group of them, near duplicates are connected by links that are
+    verified. The rows to drop meet the documents where these are read if there are at most
     BROADCAST_DROPS, else in a shuffled anti-join.
     """
     fps = keep(sketches(docs))
     key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("kid"), "salt")
-    distinct = fps.groupBy("s1", "s2").agg(F.min(key).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "more", "bands")])
+    distinct = fps.groupBy("s1", "s2").agg(F.min(key).alias("first"), *[F.first(c).alias(c) for c in ("n", "bands")])
     distinct = keep(distinct.withColumn("id", F.monotonically_increasing_id()))
-    one, other = distinct.select("id", "fp", "more"), distinct.select("id", F.col("more").alias("fp"), F.col("fp").alias("more"))
-    keys = distinct.select("id", F.explode("bands").alias("band"))
-    stars = keys.groupBy("band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "b")
-    banded = keys.join(stars, "band").select(F.col("id").alias("a"), "b").where("a <> b")
-    found = links(one, PROBE_BITS, NEAR_BITS).unionAll(links(other, PROBE_BITS, NEAR_BITS)).unionAll(banded)
-    roots = keep(components(keep(verified(docs, distinct, keep(components(found))))))
+    roots = keep(components(keep(verified(docs, distinct, keep(components(candidates(distinct)))))))
     own = distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     least = own.groupBy("root").agg(F.min("first").alias("stays"))
     stays = own.join(least, "root").select("s1", "s2", "stays")
